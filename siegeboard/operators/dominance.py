@@ -235,7 +235,8 @@ def _chunks(words: DataFrame, *bits: str) -> DataFrame:
 class ExtendedGroups:
     """Groups with carried results; all three tables are materialized.
 
-    ``words``: gid, word, own_winners, winners, players (bit sets).
+    ``words``: gid, word, own_winners, winners, players and carried, the winners
+    that come from other groups (bit sets).
     ``sized``: the group table plus #Winners, #Players and Difficulty.
     """
 
@@ -270,6 +271,7 @@ def extend_results(
             F.lit(None).cast("bigint").alias("own_winners"),
             kept.alias("winners"),
             F.col(f"w.{players}").alias("players"),
+            kept.alias("carried"),
         )
 
     own_rows = own.select(
@@ -278,12 +280,13 @@ def extend_results(
         "own_winners",
         F.col("own_winners").alias("winners"),
         F.col("own_players").alias("players"),
+        F.lit(None).cast("bigint").alias("carried"),
     )
     words = materialize(
         own_rows.unionByName(carried(True, "win_winners", "win_players"))
         .unionByName(carried(False, None, "loss_players"))
         .groupBy("gid", "word")
-        .agg(*[F.bit_or(c).alias(c) for c in ("own_winners", "winners", "players")])
+        .agg(*[F.bit_or(c).alias(c) for c in ("own_winners", "winners", "players", "carried")])
     )
     sizes = words.groupBy("gid").agg(
         F.coalesce(F.sum(F.bit_count("winners")), F.lit(0)).alias("#Winners"),
