@@ -314,3 +314,63 @@ def merged_replays(extended: ExtendedGroups, replays: DataFrame) -> DataFrame:
         return join_skewed(pairs, wanted, ["source"]).select("gid", "kind", "replay")
 
     return carried(True, "Win").unionByName(carried(False, "Loss"))
+
+
+def ordered_members(
+    extended: ExtendedGroups,
+    matches_df: DataFrame,
+    matches: MatchColumns,
+    by: Sequence[str] = (),
+    winners_only: bool = False,
+    targets: DataFrame | None = None,
+) -> DataFrame:
+    """Own and carried players of each group with their place in the report.
+
+    First come the players of the group's top match (highest damage, unknown
+    first), then everybody else by the earliest match that brings them. The place is
+    the struct ``first_seen``; rows are one per group and player, so no list is
+    built here. ``targets`` limits the groups.
+    """
+    ids = extended.state.groups.select("group_key", "gid", "is_source")
+    keyed = with_group_key(matches_df, extended.state.roles, by).join(ids, "group_key")
+    listed = col(matches.winners if winners_only else matches.players)
+    seen = keyed.select(
+        "gid",
+        "is_source",
+        col(matches.ai_win).alias("ai_win"),
+        F.struct(F.lit(1).alias("part"), col(matches.start).alias("start"), col(matches.id).alias("match")).alias("at"),
+        (-col(matches.damage_value)).alias("minus_damage"),
+        F.posexplode(listed).alias("place", "player"),
+    ).where(F.col("player").isNotNull())
+
+    def position(part: int):
+        return F.struct(
+            F.lit(part).alias("part"), F.col("at.start").alias("start"), F.col("at.match").alias("match"), "place"
+        )
+
+    top = keyed.groupBy("gid").agg(
+        F.min(F.struct((-col(matches.damage_value)).alias("minus_damage"), col(matches.id).alias("match"))).alias("top")
+    )
+    own = (
+        seen.join(top, "gid")
+        .withColumn("first_seen", F.when(F.col("at.match") == F.col("top.match"), position(0)).otherwise(position(1)))
+        .select("gid", "player", "first_seen")
+    )
+    wanted = extended.state.groups if targets is None else targets
+
+    def carried(easier: bool) -> DataFrame:
+        outcome = ~F.col("ai_win") if easier else F.col("ai_win")
+        sources = (
+            seen.where(outcome & F.col("is_source"))
+            .groupBy(F.col("gid").alias("source"), "player")
+            .agg(F.min(position(1)).alias("first_seen"))
+        )
+        pairs = match_targets(extended.state, easier, targets=wanted).where(F.col("source") != F.col("gid"))
+        return join_skewed(pairs, sources, ["source"]).select("gid", "player", "first_seen")
+
+    rows = own.unionByName(carried(True))
+    if not winners_only:
+        rows = rows.unionByName(carried(False))
+    if targets is not None:
+        rows = rows.join(targets.select("gid"), "gid", "left_semi")
+    return rows.groupBy("gid", "player").agg(F.min("first_seen").alias("first_seen"))

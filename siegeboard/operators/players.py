@@ -15,6 +15,7 @@ from ..roles import MatchColumns
 from ..session import materialize
 from .dominance import ExtendedGroups, match_targets
 from .groups import with_group_key
+from .tiers import with_ends
 from .ranking import (
     average_ranks,
     combined_rank,
@@ -113,8 +114,7 @@ def setting_index(extended: ExtendedGroups, by: Sequence[str] = ()) -> DataFrame
 def tier_counts(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per ``by`` group: difficulty ends and the number of groups at the top and between."""
     labels = [col(b) for b in by]
-    ends = groups.groupBy(*labels).agg(F.min("Difficulty").alias("low"), F.max("Difficulty").alias("high"))
-    joined = join_lookup(groups, ends, list(by)) if by else groups.join(F.broadcast(ends))
+    joined = with_ends(groups, by)
     d = F.col("Difficulty")
     return joined.groupBy(*labels, "low", "high").agg(
         F.count_if(d == F.col("high")).alias("n_unbeaten"),
@@ -242,10 +242,10 @@ def completions(
     return top_k_per(found, [*by, "Player"], best_first, k)
 
 
-def top_difficulties(best: DataFrame, counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def top_difficulties(best: DataFrame, counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Best groups packed per player, with row numbers local to the tier tables."""
     labels = [col(b) for b in by]
-    placed = join_lookup(best, counts, list(by)) if by else best.join(F.broadcast(counts))
+    placed = join_lookup(best, counts, list(by))
     local = (
         F.col("index")
         - F.when(F.col("diff") < 1, F.col("n_unbeaten")).otherwise(0)
@@ -279,8 +279,14 @@ def player_ratings(
     matches: MatchColumns,
     by: Sequence[str],
     indexed: DataFrame | None = None,
+    stats_from: DataFrame | None = None,
 ) -> DataFrame:
-    """The rating table: rates, best groups, ranks, combined rank and rating."""
+    """The rating table: rates, best groups, ranks, combined rank and rating.
+
+    ``stats_from`` gives the matches behind the player rates when they are
+    more than the grouped ones.
+    """
+    all_games = matches_df if stats_from is None else stats_from
     numbered = setting_index(extended, by) if indexed is None else indexed
     best = completions(extended, numbered, matches_df, matches, by)
     tops = top_difficulties(best, tier_counts(numbered, by), by)
@@ -288,7 +294,7 @@ def player_ratings(
     joined = (
         tops.join(losers_sum(extended, by), key, "left")
         .join(settings_won(extended, by), key, "left")
-        .join(player_stats(matches_df, matches, by), key, "left")
+        .join(player_stats(all_games, matches, by), key, "left")
         .na.fill(0, ["Difficulty Losers Sum", "#Settings"])
         .withColumn("clipped_games", F.least(F.col("n_games"), F.lit(20)))
     )

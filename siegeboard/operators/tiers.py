@@ -27,8 +27,11 @@ def tier_of(value: Column, low: Column, high: Column) -> Column:
 
 def with_ends(groups: DataFrame, by: Sequence[str], value: str = "Difficulty") -> DataFrame:
     """Add the smallest and largest value of each ``by`` group as ``low`` and ``high``."""
-    ends = groups.groupBy(*[col(b) for b in by]).agg(F.min(col(value)).alias("low"), F.max(col(value)).alias("high"))
-    return join_lookup(groups, ends, list(by)) if by else groups.join(F.broadcast(ends))
+    sides = [F.min(col(value)).alias("low"), F.max(col(value)).alias("high")]
+    if not by:
+        ends = groups.agg(*sides).first()
+        return groups.withColumns({name: F.lit(ends[name]).cast("float") for name in ("low", "high")})
+    return join_lookup(groups, groups.groupBy(*[col(b) for b in by]).agg(*sides), list(by))
 
 
 def tiered(groups: DataFrame, by: Sequence[str], value: str = "Difficulty", with_all: bool = False) -> DataFrame:
@@ -47,8 +50,8 @@ def tiered_sample(groups: DataFrame, ties: Sequence[Column], hard: int = 50, eas
     """The most played unbeaten groups, all between, and the most played easiest."""
     d = F.col("Difficulty")
     most_played = [F.col("#Players").desc(), *ties]
-    lowest = groups.agg(F.min("Difficulty").alias("lowest"))
-    easiest = groups.join(F.broadcast(lowest), d == F.col("lowest")).drop("lowest")
+    lowest = groups.agg(F.min("Difficulty")).first()[0]
+    easiest = groups.where(d == F.lit(lowest).cast("float"))
     return (
         groups.where(d == 1).orderBy(*most_played).limit(hard)
         .unionByName(groups.where((d > 0) & (d < 1)))
