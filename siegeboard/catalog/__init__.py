@@ -1,0 +1,6 @@
+"""Queries of every operator on the given tables."""
+
+from . import match_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "match_queries"]
