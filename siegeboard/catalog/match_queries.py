@@ -49,7 +49,7 @@ def sizes() -> list:
 
 
 def extended(spark: SparkSession, sf: str) -> tuple[ExtendedGroups, DataFrame]:
-    games = match_view(spark, sf)
+    games = materialize(match_view(spark, sf))
     return extend_results(games, VIEW_ROLES, VIEW_COLUMNS, BY), games
 
 
@@ -299,7 +299,7 @@ def avg_ranks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RATED_SQL = """ select ai, player, round(award_rate::double, 4) award_rate, round(weighted::double, 4) weighted,
-  round(score, 5) score, cast(losers as bigint) losers, cast(settings as bigint) settings,
+  round(score::float::double, 5) score, cast(losers as bigint) losers, cast(settings as bigint) settings,
   case when n_games > 20 then '>20' else cast(n_games as varchar) end games, round(win_rate::double, 4) win_rate,
   cast(trunc(weighted_rank) as bigint) weighted_rank, cast(trunc(score_rank) as bigint) score_rank,
   cast(trunc(losers_rank) as bigint) losers_rank, cast(trunc(games_rank) as bigint) games_rank,

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import col, fingerprint
 from ..functions.ordinals import ordinal
-from ..plans.joins import join_lookup, join_skewed
+from ..plans.joins import broadcast_if_small, join_skewed
 from ..roles import MatchColumns, SettingRoles
 from ..session import materialize
 from .groups import difficulty, group_table, member_words, with_group_key
@@ -61,10 +61,12 @@ class Comparable:
     """Groups ready to be compared: ``groups`` is materialized.
 
     ``axes`` maps a compared setting to the short column that holds its value,
-    text levels turned into their place.
+    text levels turned into their place. ``cells`` tells into how many blocks
+    each level cell of a bucket is cut.
     """
 
     groups: DataFrame
+    cells: DataFrame
     roles: SettingRoles
     axes: dict[str, str]
     gates: dict[str, str]
@@ -112,7 +114,11 @@ def _choose_pivots(groups: DataFrame, axes: dict[str, str], roles: SettingRoles,
 
 
 def comparable_groups(
-    groups: DataFrame, roles: SettingRoles, by: Sequence[str] = (), pivots: int = 2
+    groups: DataFrame,
+    roles: SettingRoles,
+    by: Sequence[str] = (),
+    pivots: int = 2,
+    block_groups: int = BLOCK_GROUPS,
 ) -> Comparable:
     """Give groups an id, a bucket and comparison axes, and store them."""
     plain_equal = [c for c in roles.equal if not _gated(roles, c)]
@@ -143,7 +149,12 @@ def comparable_groups(
     chosen = _choose_pivots(stored, axes, roles, pivots)
     for pivot in chosen:
         stored = stored.withColumn(f"level_{pivot.name}", F.coalesce(pivot.level(), F.lit(0)))
-    return Comparable(stored, roles, axes, gates, chosen)
+    cells = materialize(
+        stored.where(F.col("bucket").isNotNull())
+        .groupBy("bucket", *[f"level_{p.name}" for p in chosen])
+        .agg(F.ceil(F.count(F.lit(1)) / block_groups).cast("int").alias("blocks"))
+    )
+    return Comparable(stored, broadcast_if_small(cells), roles, axes, gates, chosen)
 
 
 def _comparison(state: Comparable, easier: bool) -> Column:
@@ -172,7 +183,6 @@ def match_targets(
     payload: DataFrame | None = None,
     target_columns: Sequence[str] = (),
     targets: DataFrame | None = None,
-    block_groups: int = BLOCK_GROUPS,
 ) -> DataFrame:
     """Pairs ``(source, gid)`` where the source's result counts for the target.
 
@@ -196,17 +206,14 @@ def match_targets(
     for pivot in state.pivots:
         sources = sources.withColumn(f"level_{pivot.name}", F.explode(pivot.reachable(easier)))
     held = target_side.where(F.col("bucket").isNotNull())
-    cells = held.groupBy("bucket", *cell).agg(
-        F.ceil(F.count(F.lit(1)) / block_groups).cast("int").alias("blocks")
+    targets_in_blocks = (
+        held.select("gid", "bucket", *cell, *compared, *[col(c) for c in target_columns])
+        .join(state.cells, ["bucket", *cell])
+        .withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
+        .drop("blocks")
     )
-    targets_in_blocks = join_lookup(
-        held.select("gid", "bucket", *cell, *compared, *[col(c) for c in target_columns]),
-        cells,
-        ["bucket", *cell],
-        "inner",
-    ).withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")).drop("blocks")
     spread = (
-        join_lookup(sources, cells, ["bucket", *cell], "inner")
+        sources.join(state.cells, ["bucket", *cell])
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .drop("blocks")
     )
@@ -256,13 +263,13 @@ def extend_results(
 ) -> ExtendedGroups:
     """Player sets and difficulty of every group after carrying results over."""
     keyed = with_group_key(matches_df, roles, by)
-    state = comparable_groups(group_table(keyed, roles, matches, by), roles, by, pivots)
+    state = comparable_groups(group_table(keyed, roles, matches, by), roles, by, pivots, block_groups)
     ids = state.groups.select("group_key", "gid")
     own = materialize(member_words(keyed, matches).join(ids, "group_key").drop("group_key"))
 
     def carried(easier: bool, winners: str | None, players: str) -> DataFrame:
         bits = [players] if winners is None else [winners, players]
-        rows = match_targets(state, easier, _chunks(own, *bits), block_groups=block_groups)
+        rows = match_targets(state, easier, _chunks(own, *bits))
         rows = rows.where(F.col("source") != F.col("gid")).select("gid", F.explode("words").alias("w"))
         kept = F.lit(None).cast("bigint") if winners is None else F.col(f"w.{winners}")
         return rows.select(

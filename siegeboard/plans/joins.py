@@ -16,6 +16,11 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it has been counted small, else as it is."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
 def join_skewed(
     left: DataFrame,
     right: DataFrame,
