@@ -77,3 +77,64 @@ def match_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             "eco_award",
         )
     )
+
+
+def nested_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match view as raw nested records, odd ones included.
+
+    Matches of one map hold an AI nobody knows, orders without a stated priority
+    get a third team, the dearest orders a mixed team, the cheapest no length;
+    the owner of a very high damage award has a handicap.
+    """
+    games = match_view(spark, sf_dir)
+    handicapped = F.col("damage_value") > 100000
+    players = F.transform(
+        "players",
+        lambda p, i: F.struct(
+            i.cast("int").alias("teamId"),
+            p.alias("userId"),
+            F.concat(F.lit("player "), p.cast("string")).alias("name"),
+            F.when(handicapped & (p == F.col("damage_award")), 10).otherwise(0).alias("handicap"),
+        ),
+    )
+    ai_name = (
+        F.when(F.col("map_name") == "MACHINERY", "OtherAI")
+        .when(F.col("ai") == "Raptors", "RaptorsAI")
+        .when(F.col("ai") == "Scavengers", "ScavengersAI")
+        .otherwise("BARb")
+    )
+    n_ais = F.when(F.col("ai") == "Barbarian", F.size("players") % 3 + 1).otherwise(1)
+    ais = F.transform(
+        F.sequence(F.lit(1), n_ais),
+        lambda i: F.struct(ai_name.alias("shortName"), (i * 5).cast("int").alias("handicap")),
+    )
+    nobody, no_ai = F.slice(players, 1, 0), F.slice(ais, 1, 0)
+
+    def team(won, people, bots):
+        return F.struct(won.alias("winningTeam"), people.alias("Players"), bots.alias("AIs"))
+
+    mixed = F.when(F.col("duration") > 490000, F.slice(players, 1, 1)).otherwise(nobody)
+    two = F.array(team(~F.col("ai_win"), players, no_ai), team(F.col("ai_win"), mixed, ais))
+    three = F.concat(two, F.array(team(F.lit(False), nobody, no_ai)))
+
+    def team_id(owner: str):
+        return (F.array_position("players", F.col(owner)) - 1).cast("int")
+
+    damage_team = F.when(F.size("players") == 2, F.lit(99)).otherwise(team_id("damage_award"))
+    units = F.array(F.struct(damage_team.alias("teamId"), (F.col("damage_value") + 0.5).alias("value")))
+    awards = F.struct(
+        F.when(F.size("players") == 1, F.slice(units, 1, 0)).otherwise(units).alias("fightingUnitsDestroyed"),
+        F.struct(team_id("eco_award").alias("teamId")).alias("mostResourcesProduced"),
+    )
+    settings = [F.col(c) for c in VIEW_ROLES.settings]
+    return games.select(
+        F.col("id").cast("string").alias("id"),
+        F.col("start_time").alias("startTime"),
+        F.when(F.col("duration") < 2000, 0).otherwise(F.col("duration")).alias("durationMs"),
+        F.struct(F.concat("map_name", F.lit(" v1."), F.col("difficulty_ord").cast("string")).alias("scriptName")).alias("Map"),
+        F.when(F.col("tweakunits") == "", F.col("map_name")).alias("Map Name"),
+        F.when(F.col("difficulty_ord") == 4, three).otherwise(two).alias("AllyTeams"),
+        awards.alias("awards"),
+        F.when(F.col("spawn_mult") != 3, F.col("spawn_mult") != 2).alias("fetch_success"),
+        *settings,
+    )

@@ -293,7 +293,7 @@ def quantize_1dp(spark, sf):
 
 @query(
     "parse_start_time",
-    "select o_orderkey, cast(epoch(o_orderdate) as bigint) "at" from orders",
+    'select o_orderkey, cast(epoch(o_orderdate) as bigint) "at" from orders',
 )
 def parse_start(spark, sf):
     """ISO texts made from the order dates, read back as timestamps."""

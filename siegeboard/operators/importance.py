@@ -35,7 +35,9 @@ class SettingFeatures:
             value = F.coalesce(col(name).cast("double"), F.lit(mean))
             changes[f"_n{i}"] = (value - F.lit(mean)) / F.lit(spread or 1.0)
         for i, name in enumerate(self.texts):
-            changes[f"_t{i}"] = F.coalesce(col(name).cast("string"), F.lit(self.modes[name]))
+            # The mark keeps an empty text usable as a category name.
+            text = F.coalesce(col(name).cast("string"), F.lit(self.modes[name]))
+            changes[f"_t{i}"] = F.concat(F.lit("="), text)
         return df.withColumns(changes)
 
     def fit(self, df: DataFrame) -> "SettingFeatures":
@@ -90,7 +92,7 @@ class SettingFeatures:
         labels = []
         for stage in self.model.stages:
             if hasattr(stage, "labelsArray"):
-                labels = [f"{c}_{v}" for c, values in zip(self.texts, stage.labelsArray) for v in values]
+                labels = [f"{c}_{v[1:]}" for c, values in zip(self.texts, stage.labelsArray) for v in values]
         return [*self.numbers, *labels]
 
 

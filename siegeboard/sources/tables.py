@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import col
 from ..operators.tiers import first_rows, tiered
+from ..plans.joins import join_lookup
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -61,25 +62,43 @@ def write_recent(df: DataFrame, path: str, n: int, order: Sequence[Column]) -> N
 
 
 def rating_document(ratings: DataFrame, ai: str = "ai", player: str = "Player", rating: str = "PVE Rating") -> DataFrame:
-    """One row with ``{"pve_ratings": {ai: {player: rating}}}``.
+    """Lines of the JSON document ``{"pve_ratings": {ai: {player: rating}}}``.
 
-    The published document is a single JSON object, so its size is that of the
-    rating table's two columns; later players win a shared name.
+    ``part`` and ``place`` give the order of the lines. One line holds one player,
+    so the document never is a single row. A name held by several users
+    keeps the lowest rating, which comes last in the rating table.
     """
-    # A name held by several users keeps the lowest rated one, which comes last in the table.
-    unique = ratings.groupBy(col(ai).alias("ai"), col(player).cast("string").alias("player")).agg(
+    entries = ratings.groupBy(col(ai).alias("ai"), col(player).cast("string").alias("place")).agg(
         F.min_by(col(rating), F.coalesce(col(rating), F.lit(-1.0))).alias("rating")
     )
-    per_ai = unique.groupBy("ai").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("player", "rating")))).alias("players")
+    sides = entries.groupBy("ai").agg(F.min("place").alias("first"))
+    first_side = sides.agg(F.min("ai")).first()[0]
+    body = F.to_json(F.create_map(F.col("place"), F.col("rating")), {"ignoreNullFields": "false"})
+    lines = join_lookup(entries, sides, ["ai"]).select(
+        F.concat("ai", F.lit(" 1")).alias("part"),
+        "place",
+        F.concat(F.when(F.col("place") != F.col("first"), ",").otherwise(""), body.substr(F.lit(2), F.length(body) - 2)).alias("value"),
     )
-    whole = per_ai.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ai", "players")))).alias("pve_ratings"))
-    return whole.select(F.to_json(F.struct("pve_ratings"), {"ignoreNullFields": "false"}).alias("value"))
+    opened = sides.select(
+        F.concat("ai", F.lit(" 0")).alias("part"),
+        F.lit("").alias("place"),
+        F.concat(
+            F.when(F.col("ai") == F.lit(first_side), '{"pve_ratings":{').otherwise(","), F.lit('"'), "ai", F.lit('":{')
+        ).alias("value"),
+    )
+    last_side = sides.agg(F.max("ai")).first()[0]
+    closed = sides.select(
+        F.concat("ai", F.lit(" 2")).alias("part"),
+        F.lit("").alias("place"),
+        F.when(F.col("ai") == F.lit(last_side), "}}}").otherwise("}").alias("value"),
+    )
+    return opened.unionByName(lines).unionByName(closed)
 
 
 def write_rating_json(ratings: DataFrame, path: str, **columns: str) -> None:
+    """Write the rating document as text files; in file order they form one JSON object."""
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    rating_document(ratings, **columns).write.text(staged)
+    rating_document(ratings, **columns).orderBy("part", "place").select("value").write.text(staged)
     swap(ratings.sparkSession, staged, path)
 
 

@@ -9,14 +9,24 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.joins import new_matches
 from ..sources.landing import MATCH_LIST_SCHEMA, root_rows
 
-BATCH = "ingest_batch"
+STREAM, BATCH = "ingest_stream", "ingest_batch"
+
+
+def stream_id(spark: SparkSession) -> str:
+    """Id of the running stream; it lives in the stream's checkpoint and survives restarts."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def batch_path(spark: SparkSession, table: str, batch_id: int) -> str:
+    """The part of a table that one batch of one stream owns."""
+    return f"{table}/{STREAM}={stream_id(spark)}/{BATCH}={batch_id}"
 
 
 def stored_rows(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
-    """Rows of an ingested table; only batches before ``before`` when given.
+    """Rows of an ingested table, without what this or a later run of a batch wrote.
 
-    The batch number is a partition, so a batch that runs again does not see
-    what its first run wrote.
+    ``before`` is the number of the batch at hand. Stream and batch are
+    partitions, so a batch that runs again does not see its own first run.
     """
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -25,8 +35,9 @@ def stored_rows(spark: SparkSession, path: str, schema, before: int | None = Non
         return spark.createDataFrame([], schema)
     table = spark.read.parquet(path)
     if before is not None:
-        table = table.where(F.col(BATCH) < before)
-    return table.drop(BATCH)
+        own = (F.col(STREAM) == stream_id(spark)) & (F.col(BATCH) >= before)
+        table = table.where(~own)
+    return table.drop(STREAM, BATCH)
 
 
 def append_new(table: str, key: str = "id"):
@@ -37,9 +48,9 @@ def append_new(table: str, key: str = "id"):
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        known = stored_rows(batch.sparkSession, table, batch.schema, batch_id)
-        fresh = new_matches(batch, known, key)
-        fresh.write.mode("overwrite").parquet(f"{table}/{BATCH}={batch_id}")
+        spark = batch.sparkSession
+        known = stored_rows(spark, table, batch.schema, batch_id)
+        new_matches(batch, known, key).write.mode("overwrite").parquet(batch_path(spark, table, batch_id))
 
     return handle
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.keys import col, fingerprint
-from .ingest import BATCH, stored_rows
+from .ingest import batch_path, stored_rows
 
 
 def changed_lobbies(batch: DataFrame, last: DataFrame, settings: Sequence[str], lobby: str = "lobby", at: str = "at") -> DataFrame:
@@ -55,8 +55,8 @@ def score_lobby_stream(
         newest = batch.withColumn("state", fingerprint(settings)).groupBy(col(lobby)).agg(
             F.max(col(at)).alias(at), F.max_by("state", F.struct(col(at), F.col("state"))).alias("state")
         )
-        newest.select(lobby, at, "state").write.mode("overwrite").parquet(f"{state_table}/{BATCH}={batch_id}")
-        score(changed).write.mode("overwrite").parquet(f"{table}/{BATCH}={batch_id}")
+        newest.select(lobby, at, "state").write.mode("overwrite").parquet(batch_path(spark, state_table, batch_id))
+        score(changed).write.mode("overwrite").parquet(batch_path(spark, table, batch_id))
 
     return (
         stream.writeStream.foreachBatch(handle)
