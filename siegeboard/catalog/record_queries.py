@@ -349,7 +349,7 @@ def rating_document(spark, sf):
     table = ratings(spark, sf).withColumn("Player", F.concat("ai", F.lit(" "), col("Player").cast("string")))
     ta.write_rating_json(table, f"{root}/pve_ratings")
     entries = spark.read.text(f"{root}/pve_ratings").where(F.col("value").rlike(r'^,?"[^"]*":[0-9]'))
-    parsed = F.from_json(F.concat(F.lit("{"), F.ltrim(F.lit(","), "value"), F.lit("}")), "map<string,double>")
+    parsed = F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", "^,", ""), F.lit("}")), "map<string,double>")
     found = entries.select(F.explode(parsed).alias("player", "rating"))
     return found.select(
         F.split("player", " ")[0].alias("ai"), F.split("player", " ")[1].alias("player"), F.round("rating", 2).alias("rating")
