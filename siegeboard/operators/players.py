@@ -150,10 +150,9 @@ def unmatched_completions(extended: ExtendedGroups, matches_df: DataFrame, match
     )
     carried_size = carried.groupBy("gid").agg(F.count(F.lit(1)).alias("n_carried"))
     order = F.struct((-col(matches.damage_value)).alias("minus_damage"), col(matches.id).alias("match"))
-    keyed = with_group_key(matches_df, roles, by).join(open_groups, "group_key")
-    walked = keyed.select(
-        "gid", "level", order.alias("at"), F.coalesce(col(matches.winners), F.array().cast("array<bigint>")).alias("own")
-    ).join(carried_size, "gid", "left").na.fill(0, ["n_carried"])
+    own = F.coalesce(col(matches.winners), F.array().cast("array<bigint>"))
+    keyed = with_group_key(matches_df, roles, by).select("group_key", order.alias("at"), own.alias("own"))
+    walked = keyed.join(open_groups, "group_key").join(carried_size, "gid", "left").na.fill(0, ["n_carried"])
     in_match = walked.select("gid", "at", F.explode("own").alias("player"))
     fresh = in_match.join(carried, ["gid", "player"], "left_anti")
     fresh_lists = fresh.groupBy("gid", "at").agg(F.collect_set("player").alias("fresh"))
