@@ -37,6 +37,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/query-{uuid.uuid4().hex}"
 
 
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested records, stored once as the raw table they stand for."""
+    return materialize(nested_view(spark, sf))
+
+
 KEPT = "map_name <> 'MACHINERY' and difficulty_ord <> 4 and duration between 2000 and 490000"
 FAIR = f"{KEPT} and damage_value <= 100000"
 
@@ -47,12 +52,12 @@ def ids_text(column: str):
 
 @query("eligible_matches", vs.MATCHES + f" select cast(id as varchar) id from g where {KEPT}")
 def eligible_matches(spark, sf):
-    return fi.eligible_matches(nested_view(spark, sf)).select("id")
+    return fi.eligible_matches(records(spark, sf)).select("id")
 
 
 @query("no_player_handicap", vs.MATCHES + " select cast(id as varchar) id from g where damage_value <= 100000")
 def no_player_handicap(spark, sf):
-    return fi.no_player_handicap(nested_view(spark, sf)).select("id")
+    return fi.no_player_handicap(records(spark, sf)).select("id")
 
 
 @query(
@@ -69,7 +74,7 @@ def no_player_handicap(spark, sf):
 )
 def derived_matches(spark, sf):
     """Flags, players, awards, handicaps and map names from nested records."""
-    rows = cl.derive_matches(nested_view(spark, sf))
+    rows = cl.derive_matches(records(spark, sf))
     flags = ["barbarian", "raptors", "scavengers", "barbarian_win", "raptors_win", "scavengers_win"]
     return rows.select(
         "id",
@@ -90,7 +95,7 @@ def derived_matches(spark, sf):
     vs.MATCHES + f" select cast(id as varchar) id from g where {FAIR} and ai = 'Scavengers'",
 )
 def split_ai(spark, sf):
-    return fi.split_ai(cl.derive_matches(nested_view(spark, sf)), "Scavengers").select("id")
+    return fi.split_ai(cl.derive_matches(records(spark, sf)), "Scavengers").select("id")
 
 
 @query(
@@ -99,13 +104,13 @@ def split_ai(spark, sf):
 )
 def plain_barbarian(spark, sf):
     """Barbarian matches with every multiplier at 1."""
-    rows = fi.split_ai(cl.derive_matches(nested_view(spark, sf)), "Barbarian")
+    rows = fi.split_ai(cl.derive_matches(records(spark, sf)), "Barbarian")
     return fi.plain_barbarian(rows.withColumnRenamed("spawn_mult", "multiplier_spawn")).select("id")
 
 
 @query("missing_awards", vs.MATCHES + " select cast(id as varchar) id from g where len(players) = 1")
 def missing_awards(spark, sf):
-    return fi.missing_awards(nested_view(spark, sf)).select("id")
+    return fi.missing_awards(records(spark, sf)).select("id")
 
 
 @query(
@@ -113,7 +118,7 @@ def missing_awards(spark, sf):
     vs.MATCHES + f" select cast(id as varchar) id, ai label, case when ai_win then 'Loss' else 'Win' end result from g where {FAIR}",
 )
 def label_games(spark, sf):
-    rows = cl.label_games(cl.derive_matches(nested_view(spark, sf)))
+    rows = cl.label_games(cl.derive_matches(records(spark, sf)))
     return rows.select("id", F.col("AI").alias("label"), F.col("Result").alias("result"))
 
 
@@ -124,7 +129,7 @@ def label_games(spark, sf):
         then cast(spawn_mult <> 2 as int) end fetched from g""",
 )
 def mark_refetch(spark, sf):
-    rows = cl.mark_refetch(nested_view(spark, sf), need_map=True)
+    rows = cl.mark_refetch(records(spark, sf), need_map=True)
     return rows.select("id", F.col("fetch_success").cast("int").alias("fetched"))
 
 
@@ -136,7 +141,7 @@ def mark_refetch(spark, sf):
       count(*) filter (spawn_mult = 3) unfetched from g""",
 )
 def completeness(spark, sf):
-    return pr.completeness(nested_view(spark, sf))
+    return pr.completeness(records(spark, sf))
 
 
 @query(
@@ -144,7 +149,7 @@ def completeness(spark, sf):
     vs.MATCHES + f" select strftime(max(start_time), '%Y-%m-%d %H:%M:%S') last_player_win from g where {FAIR} and not ai_win",
 )
 def last_player_win(spark, sf):
-    rows = cl.derive_matches(nested_view(spark, sf))
+    rows = cl.derive_matches(records(spark, sf))
     wins = {f: f"{f}_win" for f in ("barbarian", "raptors", "scavengers")}
     last = pr.last_player_win(rows, "startTime", wins)
     return last.select(F.date_format("last_player_win", "yyyy-MM-dd HH:mm:ss").alias("last_player_win"))
@@ -155,7 +160,7 @@ def last_player_win(spark, sf):
     vs.MATCHES + " select cast(id as varchar) id from g where spawn_mult = 3 order by start_time desc, cast(id as varchar) desc limit 500",
 )
 def fetch_queue_query(spark, sf):
-    return fetch_queue(nested_view(spark, sf), 500)
+    return fetch_queue(records(spark, sf), 500)
 
 
 @query(
@@ -165,7 +170,7 @@ def fetch_queue_query(spark, sf):
 )
 def fill_nested(spark, sf):
     """Fetched details fill the matches whose awards are empty."""
-    games = nested_view(spark, sf)
+    games = records(spark, sf)
     fetched = games.select(
         "id",
         F.struct(
@@ -185,8 +190,8 @@ def fill_nested(spark, sf):
 )
 def nested_names(spark, sf):
     """Latest name and number of sightings per user in nested records."""
-    seen = na.name_sightings(nested_view(spark, sf).where(F.col("durationMs") <= 490000))
-    extra = na.name_sightings(nested_view(spark, sf).where(F.col("durationMs") > 490000)).distinct()
+    seen = na.name_sightings(records(spark, sf).where(F.col("durationMs") <= 490000))
+    extra = na.name_sightings(records(spark, sf).where(F.col("durationMs") > 490000)).distinct()
     every = seen.unionByName(extra)
     counts = every.groupBy("userId").agg(F.count("*").alias("n"))
     names = na.latest_names(every)
@@ -316,7 +321,7 @@ def replay_groups(spark: SparkSession, sf: str) -> DataFrame:
 )
 def recent_games(spark, sf):
     """Newest ten thousand games with names, result and their group's settings."""
-    derived = materialize(cl.derive_matches(nested_view(spark, sf)).drop(*VIEW_ROLES.settings))
+    derived = materialize(cl.derive_matches(records(spark, sf)).drop(*VIEW_ROLES.settings))
     names = na.latest_names(na.name_sightings(derived))
     groups = replay_groups(spark, sf).select("Win Replays", "Loss Replays", "Difficulty", "difficulty_ord")
     shown = rp.recent_games(derived, groups, names, 10_000)
@@ -365,7 +370,7 @@ def rating_document(spark, sf):
 def landing_pages(spark, sf):
     """Match-list records written as JSON landing files and read back."""
     root = scratch(spark)
-    games = nested_view(spark, sf).withColumn("startTime", F.date_format("startTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    games = records(spark, sf).withColumn("startTime", F.date_format("startTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     games.select("id", "startTime", "durationMs", "Map", "AllyTeams").write.json(root)
     rows = la.read_match_pages(spark, root)
     return rows.select(
@@ -386,7 +391,7 @@ def landing_pages(spark, sf):
 def landing_details(spark, sf):
     """Match-detail records, settings unpacked, failed fetches kept without values."""
     root = scratch(spark)
-    raw = nested_view(spark, sf).select(
+    raw = records(spark, sf).select(
         "id",
         F.when(F.col("spawn_mult") == 2, 500).otherwise(200).alias("status"),
         F.date_format("startTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("startTime"),
@@ -408,7 +413,7 @@ def landing_details(spark, sf):
 )
 def root_append(spark, sf):
     """Root table after the later half of all matches arrives with some known ones."""
-    games = nested_view(spark, sf).select(*[col(c) for c in la.ROOT_COLUMNS])
+    games = records(spark, sf).select(*[col(c) for c in la.ROOT_COLUMNS])
     early = games.where(F.col("startTime") < "1999-01-01")
     overlap = games.where(F.col("startTime") >= "1998-01-01")
     return ig.append_root(early, overlap).select("id", col("Map Name").alias("map_name"))
