@@ -33,6 +33,8 @@ from .groups import difficulty, group_table, member_words, with_group_key
 LEVELS = 8
 BLOCK_GROUPS = 2048
 CHUNK_WORDS = 1024
+PAIRS_PER_TASK = 1 << 22
+MAX_TASKS = 32_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,8 @@ class Comparable:
 
     ``axes`` maps a compared setting to the short column that holds its value,
     text levels turned into their place. ``cells`` tells into how many blocks
-    each level cell of a bucket is cut.
+    each level cell of a bucket is cut, ``tasks`` over how many tasks the
+    comparisons are spread.
     """
 
     groups: DataFrame
@@ -71,6 +74,7 @@ class Comparable:
     axes: dict[str, str]
     gates: dict[str, str]
     pivots: tuple[Pivot, ...]
+    tasks: int
 
 
 def _gated(roles: SettingRoles, name: str) -> bool:
@@ -152,9 +156,22 @@ def comparable_groups(
     cells = materialize(
         stored.where(F.col("bucket").isNotNull())
         .groupBy("bucket", *[f"level_{p.name}" for p in chosen])
-        .agg(F.ceil(F.count(F.lit(1)) / block_groups).cast("int").alias("blocks"))
+        .agg(F.count(F.lit(1)).alias("held"), F.ceil(F.count(F.lit(1)) / block_groups).cast("int").alias("blocks"))
     )
-    return Comparable(stored, broadcast_if_small(cells), roles, axes, gates, chosen)
+    tasks = _comparison_tasks(cells)
+    return Comparable(stored, broadcast_if_small(cells.drop("held")), roles, axes, gates, chosen, tasks)
+
+
+def _comparison_tasks(cells: DataFrame) -> int:
+    """Tasks for the comparisons of a bucket's groups with each other.
+
+    The rows are few bytes but many comparisons, so the number comes from the
+    comparisons and is not left to byte sizes.
+    """
+    held = cells.groupBy("bucket").agg(F.sum("held").cast("double").alias("n"))
+    pairs = held.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+    spread = 4 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(spread, min(MAX_TASKS, int(pairs // PAIRS_PER_TASK) + 1))
 
 
 def _comparison(state: Comparable, easier: bool) -> Column:
@@ -220,7 +237,12 @@ def match_targets(
     if payload is not None:
         carried = payload.withColumnRenamed("gid", "source")
         spread = spread.join(carried, "source")
-    pairs = spread.join(targets_in_blocks, ["bucket", *cell, "block"]).where(_comparison(state, easier))
+    keys = ["bucket", *cell, "block"]
+    pairs = (
+        spread.repartition(state.tasks, *keys)
+        .join(targets_in_blocks.repartition(state.tasks, *keys), keys)
+        .where(_comparison(state, easier))
+    )
     extra = [] if payload is None else [c for c in payload.columns if c != "gid"]
     return pairs.select("source", "gid", *[col(c) for c in [*extra, *target_columns]])
 
@@ -267,34 +289,28 @@ def extend_results(
     ids = state.groups.select("group_key", "gid")
     own = materialize(member_words(keyed, matches).join(ids, "group_key").drop("group_key"))
 
+    unknown = F.lit(None).cast("bigint")
+
     def carried(easier: bool, winners: str | None, players: str) -> DataFrame:
         bits = [players] if winners is None else [winners, players]
         rows = match_targets(state, easier, _chunks(own, *bits))
-        rows = rows.where(F.col("source") != F.col("gid")).select("gid", F.explode("words").alias("w"))
-        kept = F.lit(None).cast("bigint") if winners is None else F.col(f"w.{winners}")
+        rows = rows.where(F.col("source") != F.col("gid")).select("gid", F.inline("words"))
+        kept = unknown if winners is None else F.col(winners)
         return rows.select(
-            "gid",
-            F.col("w.word").alias("word"),
-            F.lit(None).cast("bigint").alias("own_winners"),
-            kept.alias("winners"),
-            F.col(f"w.{players}").alias("players"),
-            kept.alias("carried"),
+            "gid", "word", unknown.alias("own_winners"), kept.alias("carried"), F.col(players).alias("players")
         )
 
     own_rows = own.select(
-        "gid",
-        "word",
-        "own_winners",
-        F.col("own_winners").alias("winners"),
-        F.col("own_players").alias("players"),
-        F.lit(None).cast("bigint").alias("carried"),
+        "gid", "word", "own_winners", unknown.alias("carried"), F.col("own_players").alias("players")
     )
-    words = materialize(
+    united = (
         own_rows.unionByName(carried(True, "win_winners", "win_players"))
         .unionByName(carried(False, None, "loss_players"))
         .groupBy("gid", "word")
-        .agg(*[F.bit_or(c).alias(c) for c in ("own_winners", "winners", "players", "carried")])
+        .agg(*[F.bit_or(c).alias(c) for c in ("own_winners", "carried", "players")])
     )
+    either = F.coalesce("own_winners", F.lit(0).cast("bigint")).bitwiseOR(F.coalesce("carried", F.lit(0).cast("bigint")))
+    words = materialize(united.withColumn("winners", F.nullif(either, F.lit(0).cast("bigint"))))
     sizes = words.groupBy("gid").agg(
         F.coalesce(F.sum(F.bit_count("winners")), F.lit(0)).alias("#Winners"),
         F.coalesce(F.sum(F.bit_count("players")), F.lit(0)).alias("#Players"),

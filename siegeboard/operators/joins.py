@@ -115,10 +115,17 @@ def repair(
 
 
 def join_by_replay(games: DataFrame, groups: DataFrame, lists: Sequence[str], key: str = "id") -> DataFrame:
-    """Attach to each game the group that lists its id; shared columns stay the game's."""
+    """Attach to each game the group that lists its id; shared columns stay the game's.
+
+    A countable number of games is sent to the lists, so that only their ids
+    are shuffled.
+    """
     ids = F.array_distinct(F.flatten(F.array(*[F.coalesce(col(c), F.array().cast("array<string>")) for c in lists])))
     keep = [c for c in groups.columns if c not in games.columns and c not in lists and c != key]
     exploded = groups.select(F.explode(ids).alias(key), *[col(c) for c in keep])
+    wanted = games.select(key)
+    if fits_broadcast(wanted):
+        exploded = exploded.join(F.broadcast(wanted), key, "left_semi")
     return games.join(exploded, key, "left")
 
 

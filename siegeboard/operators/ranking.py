@@ -42,6 +42,37 @@ def running_total(
     )
 
 
+def previous_value(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, out: str
+) -> DataFrame:
+    """``value`` of the row before within ``by``, null for the first row.
+
+    Rows are range-sorted over all tasks and stored; inside a range the row before
+    is near, and the first row of a range takes the last value of the range
+    before. A key with a third of all rows is spread over many ranges. ``order`` must
+    be total within a group and ``value`` not null.
+    """
+    keys = [col(b) for b in by]
+    ranged = (
+        df.withColumn("_value", value)
+        .repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_range", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id())
+    )
+    stored = materialize(ranged)
+    inside = W.partitionBy("_range", *keys).orderBy("_place")
+    ends = stored.groupBy("_range", *keys).agg(F.max_by("_value", "_place").alias("_last"))
+    before = W.partitionBy(*keys).orderBy("_range")
+    carried = ends.withColumn("_carried", F.lag("_last").over(before)).drop("_last")
+    return (
+        stored.withColumn(out, F.lag("_value").over(inside))
+        .join(carried, ["_range", *by])
+        .withColumn(out, F.coalesce(out, "_carried"))
+        .drop("_range", "_place", "_value", "_carried")
+    )
+
+
 def with_row_index(
     df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "index"
 ) -> DataFrame:

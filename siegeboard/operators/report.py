@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.keys import col
-from ..plans.joins import join_lookup
 from ..roles import SettingRoles
+from ..session import materialize
 from .columns import moved, reorder_column, tweaks_in_order
 from .clean import label_games
 from .joins import join_by_replay, translate_names
@@ -114,7 +114,7 @@ def recent_games(games: DataFrame, groups: DataFrame, names: DataFrame, n: int =
     base = labelled.select(
         "startTime", "AI", "id", "Result", F.col("players").alias("Players"), "Map", "Barbarian Handicap", "Barbarian Per Player"
     )
-    newest = base.orderBy(F.col("startTime").desc(), F.col("id").desc()).limit(n)
+    newest = materialize(base.orderBy(F.col("startTime").desc(), F.col("id").desc()).limit(n))
     named = translate_names(newest, ["id"], "Players", names)
     found = groups.drop("Winners", "Merged Win Replays", "Merged Loss Replays")
     joined = join_by_replay(named, found, ["Win Replays", "Loss Replays"])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.keys import col, fingerprint
+from ..operators.ranking import previous_value
+from ..plans.joins import join_skewed
 from .ingest import batch_path, stored_rows
 
 
@@ -20,14 +21,13 @@ def changed_lobbies(batch: DataFrame, last: DataFrame, settings: Sequence[str],
     previous settings are dropped.
     """
     marked = batch.withColumn("state", fingerprint(settings))
-    order = W.partitionBy(col(lobby)).orderBy(col(at), F.col("state"))
-    before = F.coalesce(F.lag("state").over(order), F.col("last_state"))
+    seen = previous_value(marked, [lobby], [col(at), F.col("state")], F.col("state"), "_seen")
     known = last.groupBy(col(lobby)).agg(F.max_by("state", col(at)).alias("last_state"))
     return (
-        marked.join(known, lobby, "left")
-        .withColumn("_before", before)
+        join_skewed(seen, known, [lobby], "left")
+        .withColumn("_before", F.coalesce("_seen", "last_state"))
         .where(F.col("_before").isNull() | (F.col("_before") != F.col("state")))
-        .drop("_before", "last_state")
+        .drop("_before", "_seen", "last_state")
     )
 
 

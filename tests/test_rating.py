@@ -273,3 +273,13 @@ def test_rating_of_a_single_value_is_null(spark):
 def test_combined_weights():
     assert sum(rk.RANK_WEIGHTS.values()) == pytest.approx(2.165)
     assert np.isclose(rk.RANK_WEIGHTS["#Games Rank"], 0.5)
+
+
+def test_previous_value_crosses_ranges(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2500, 0).otherwise(F.col("id") % 3).alias("k"), "id")
+    got = rk.previous_value(df, ["k"], [F.col("id")], F.col("id"), "before").collect()
+    want, last = {}, {}
+    for row in sorted(got, key=lambda r: r["id"]):
+        want[row["id"]] = last.get(row["k"])
+        last[row["k"]] = row["id"]
+    assert {r["id"]: r["before"] for r in got} == want and len(got) == 3000
