@@ -10,7 +10,7 @@ from ..operators import groups as gr
 from ..operators import players as pl
 from ..operators.dominance import ExtendedGroups, extend_results, merged_replays, ordered_members
 from ..operators.ranking import average_ranks
-from ..operators.report import explain_rating, display
+from ..operators.report import display, explain_rating, group_link
 from ..operators.tiers import tiered, tiered_sample
 from ..session import materialize
 from . import viewsql as vs
@@ -357,3 +357,26 @@ def display_groups(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select(
         *vs.KEYS, col("#Winners").alias("n_winners"), col("#Players").alias("n_players"), F.col("Difficulty").alias("shown")
     )
+
+
+@query(
+    "group_winners",
+    vs.GROUPS + f" select distinct {LABEL_SQL} group_label, p player from own join k using (gid) where not ai_win",
+)
+def group_winners(spark: SparkSession, sf: str) -> DataFrame:
+    """Players who won a group in its own matches."""
+    state, _ = extended(spark, sf)
+    return pl.own_wins(state, ()).join(state.state.groups, "gid").select(label(), F.col("Player").alias("player"))
+
+
+@query(
+    "group_links",
+    vs.INDEXED
+    + """ select ai, cast(idx as bigint) idx, 'https://board.example/?view=gamesettings&ai=' || ai || '&filter='
+      || case difficulty when 1 then 'unbeaten' when 0 then 'easy' else 'regular' end || '&row=' || idx link from numbered""",
+)
+def group_links(spark: SparkSession, sf: str) -> DataFrame:
+    state, _ = extended(spark, sf)
+    rows = pl.setting_index(state, BY)
+    link = group_link(F.col("ai"), F.col("Difficulty"), F.col("index"), "https://board.example")
+    return rows.select("ai", F.col("index").alias("idx"), link.alias("link"))

@@ -13,6 +13,7 @@ from ..operators import importance as im
 from ..operators import joins as jo
 from ..operators import names as na
 from ..operators import profile as pr
+from ..operators.clean import cast_matches as cast_settings
 from ..operators.clean import parse_start_time
 from ..operators.filters import known_sources, lobby_players
 from ..operators.knn import approximate_knn, knn
@@ -625,3 +626,51 @@ def lobby_number(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", tx.lobby_number((F.col("l_quantity") - 1).cast("string")).alias("shown")
     )
+
+
+@query(
+    "cast_matches",
+    """select cast(o_orderkey as varchar) id, cast(epoch(o_orderdate) as bigint) started, cast(o_custkey as bigint) startmetal,
+         case when o_orderpriority = '1-URGENT' then '' else o_orderpriority end tweakdefs1,
+         cast(cast(o_totalprice / 1000 as decimal(18, 1)) as double) multiplier_buildpower,
+         case o_orderstatus when 'F' then 0 else 1 end noair, case o_orderstatus when 'P' then 3 else 10 end levelcap,
+         case o_orderstatus when 'O' then 'epic' else 'easy' end raptor_difficulty from orders""",
+)
+def cast_matches(spark, sf):
+    """Orders under setting names: texts in, typed and filled settings out."""
+    status = F.col("o_orderstatus")
+    raw = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("startTime"),
+        F.col("o_custkey").cast("string").alias("startmetal"),
+        F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority")).alias("tweakdefs1"),
+        (F.col("o_totalprice") / 1000).alias("multiplier_buildpower"),
+        F.when(status != "F", "1").alias("unit_restrictions_noair"),
+        F.when(status == "P", "3").alias("evocomlevelcap"),
+        F.when(status == "O", "epic").otherwise("easy").alias("raptor_difficulty"),
+    )
+    typed = cast_settings(raw)
+    return typed.select(
+        "id",
+        F.unix_timestamp("startTime").alias("started"),
+        F.col("startmetal").cast("bigint").alias("startmetal"),
+        "tweakdefs1",
+        "multiplier_buildpower",
+        F.col("unit_restrictions_noair").cast("int").alias("noair"),
+        F.col("evocomlevelcap").cast("int").alias("levelcap"),
+        "raptor_difficulty",
+    )
+
+
+@query("reorder_columns", "select o_totalprice, o_orderkey, o_custkey, o_orderstatus, o_orderpriority from orders")
+def reorder_columns(spark, sf):
+    orders = table(spark, sf, "orders").drop("o_orderdate")
+    return co.reorder_column(co.reorder_column(orders, 0, "o_totalprice"), 3, "absent")
+
+
+@query(
+    "cast_strings",
+    "select cast(p_partkey as varchar) p_partkey, cast(p_size as varchar) p_size, p_type from part",
+)
+def cast_strings(spark, sf):
+    return co.cast_strings(table(spark, sf, "part").select("p_partkey", "p_size", "p_type"), ["p_partkey", "p_size", "absent"])

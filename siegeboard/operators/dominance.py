@@ -170,7 +170,9 @@ def _comparison_tasks(cells: DataFrame) -> int:
     """
     held = cells.groupBy("bucket").agg(F.sum("held").cast("double").alias("n"))
     pairs = held.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
-    spread = 4 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = cells.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = 4 * min(partitions, spark.sparkContext.defaultParallelism)
     return max(spread, min(MAX_TASKS, int(pairs // PAIRS_PER_TASK) + 1))
 
 

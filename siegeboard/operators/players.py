@@ -57,10 +57,10 @@ def player_stats(matches_df: DataFrame, matches: MatchColumns, by: Sequence[str]
 
 def settings_won(extended: ExtendedGroups, by: Sequence[str] = ()) -> DataFrame:
     """Number of groups each player has won in own matches (``#Settings``)."""
-    return _own_wins(extended, by).groupBy(*[col(b) for b in by], "Player").agg(F.count(F.lit(1)).alias("#Settings"))
+    return own_wins(extended, by).groupBy(*[col(b) for b in by], "Player").agg(F.count(F.lit(1)).alias("#Settings"))
 
 
-def _own_wins(extended: ExtendedGroups, by: Sequence[str]) -> DataFrame:
+def own_wins(extended: ExtendedGroups, by: Sequence[str]) -> DataFrame:
     """One row per group and player who won it."""
     labels = extended.state.groups.select("gid", *[col(b) for b in by])
     wins = extended.own_words.where(F.col("own_winners").isNotNull()).select(
@@ -79,7 +79,7 @@ def losers_sum(extended: ExtendedGroups, by: Sequence[str] = ()) -> DataFrame:
     never_won = F.col("players").bitwiseAND(F.bitwise_not(F.coalesce("own_winners", F.lit(0).cast("long"))))
     lost = extended.words.select("gid", "word", never_won.alias("bits")).where(F.col("bits") != 0)
     records = (
-        _own_wins(extended, by)
+        own_wins(extended, by)
         .groupBy(*labels, "Player")
         .agg(F.array_sort(F.collect_set("gid")).alias("won"))
         .withColumn("record", fingerprint(["won"]))

@@ -19,6 +19,7 @@ def build_session(app: str = "siegeboard", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Set comparisons and nested-record expressions need little data and much work.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
