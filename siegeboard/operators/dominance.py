@@ -334,7 +334,8 @@ def merged_replays(extended: ExtendedGroups, replays: DataFrame) -> DataFrame:
     by_group = replays.join(ids, "group_key").select(F.col("gid").alias("source"), "kind", "replay")
 
     def carried(easier: bool, kind: str) -> DataFrame:
-        pairs = match_targets(extended.state, easier).where(F.col("source") != F.col("gid"))
+        # Stored, because the hot sources are counted before the join.
+        pairs = materialize(match_targets(extended.state, easier).where(F.col("source") != F.col("gid")))
         wanted = by_group.where(F.col("kind") == kind)
         return join_skewed(pairs, wanted, ["source"]).select("gid", "kind", "replay")
 
@@ -391,7 +392,7 @@ def ordered_members(
             .agg(F.min(position(1)).alias("first_seen"))
         )
         pairs = match_targets(extended.state, easier, targets=wanted).where(F.col("source") != F.col("gid"))
-        return join_skewed(pairs, sources, ["source"]).select("gid", "player", "first_seen")
+        return join_skewed(materialize(pairs), sources, ["source"]).select("gid", "player", "first_seen")
 
     rows = own.unionByName(carried(True))
     if not winners_only:

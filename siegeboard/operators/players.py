@@ -78,7 +78,7 @@ def losers_sum(extended: ExtendedGroups, by: Sequence[str] = ()) -> DataFrame:
     labels = [col(b) for b in by]
     never_won = F.col("players").bitwiseAND(F.bitwise_not(F.coalesce("own_winners", F.lit(0).cast("long"))))
     lost = extended.words.select("gid", "word", never_won.alias("bits")).where(F.col("bits") != 0)
-    records = (
+    records = materialize(
         own_wins(extended, by)
         .groupBy(*labels, "Player")
         .agg(F.array_sort(F.collect_set("gid")).alias("won"))
