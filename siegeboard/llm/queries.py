@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .fingerprint import op7_multiset_fingerprint
+from .language import op4_language_codes
 from .shards import op2_hypergeometric_shards
 
 QUERIES = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op4_language_codes": op4_language_codes,
     "op7_multiset_fingerprint": op7_multiset_fingerprint,
 }
 

@@ -70,8 +70,19 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-def binary_array(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, type=pa.binary())
+#: Arrow types by the names used in Spark's DDL.
+ARROW = {
+    "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(),
+    "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+}
+
+
+def record_batch(ddl: str, *columns) -> pa.RecordBatch:
+    """Columns in the order and with the types of a schema like ``"a int, b string"``."""
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, type=ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]
+    )
 
 
 def sum_vectors(df: DataFrame, keys: list[str], dtype: str, parts: int, fan_in: int = 64) -> DataFrame:
