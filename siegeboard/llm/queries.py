@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .fingerprint import op7_multiset_fingerprint
 from .language import op4_language_codes
+from .mixing import op6_mix_sources
 from .packing import op9_cost_balanced_packing
 from .shards import op2_hypergeometric_shards
 
 QUERIES = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op4_language_codes": op4_language_codes,
+    "op6_mix_sources": op6_mix_sources,
     "op7_multiset_fingerprint": op7_multiset_fingerprint,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
 }
