@@ -7,13 +7,16 @@ from .language import op4_language_codes
 from .mixing import op6_mix_sources
 from .packing import op9_cost_balanced_packing
 from .shards import op2_hypergeometric_shards
+from .topk import ORACLE as TOPK_ORACLE
+from .topk import op8_impact_topk
 
 QUERIES = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op4_language_codes": op4_language_codes,
     "op6_mix_sources": op6_mix_sources,
     "op7_multiset_fingerprint": op7_multiset_fingerprint,
+    "op8_impact_topk": op8_impact_topk,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_impact_topk": TOPK_ORACLE}
