@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chunks import op3_chunk_dedup
 from .fingerprint import op7_multiset_fingerprint
 from .language import op4_language_codes
 from .mixing import op6_mix_sources
@@ -12,6 +13,7 @@ from .topk import op8_impact_topk
 
 QUERIES = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_chunk_dedup": op3_chunk_dedup,
     "op4_language_codes": op4_language_codes,
     "op6_mix_sources": op6_mix_sources,
     "op7_multiset_fingerprint": op7_multiset_fingerprint,

@@ -106,3 +106,31 @@ def sum_vectors(df: DataFrame, keys: list[str], dtype: str, parts: int, fan_in:
         df = df.groupBy(*keys, "part").applyInPandas(add, schema)
         if parts <= 1:
             return df.drop("part")
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2^bits flags, packed by eight, set where ``column`` (bigint) modulo 2^bits occurs.
+
+    A filter of fixed size, whatever the input: it may let more through than was
+    put in, never less. Slices of 64 KB are made by tasks of their own.
+    """
+    low = min(19, bits)
+    places = df.select(F.pmod(column, F.lit(1 << bits)).alias("at")).distinct()
+
+    def slice_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << low, dtype=bool)
+        flags[pdf["at"].to_numpy() & ((1 << low) - 1)] = True
+        return pd.DataFrame({"slice": [int(pdf["at"].iloc[0]) >> low], "flags": [np.packbits(flags).tobytes()]})
+
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    step = (1 << low) // 8
+    slices = places.groupBy(F.shiftright("at", low).alias("slice")).applyInPandas(slice_of, "slice bigint, flags binary")
+    for r in slices.toLocalIterator():
+        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["flags"], dtype=np.uint8)
+    return out
+
+
+def flagged(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each unsigned or signed 64-bit value whether its place in a bitmap is set."""
+    at = values.astype(np.uint64) & np.uint64(len(flags) * 8 - 1)
+    return (flags[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
