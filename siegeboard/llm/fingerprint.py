@@ -6,8 +6,8 @@ of these vectors, lane by lane, modulo powers of two:
 
 * lane 0: number of passages, modulo 2^32;
 * lanes 1 to 8: 256 hash bits as eight numbers, added modulo 2^32. They decide equality;
-* lanes 9 to 29: three counters each, modulo 2^20. Counter k counts the passages
-  whose k-th hash bit is set. Read as +1 and -1 these 63 sums are a linear
+* lanes 9 to 40: two counters each, modulo 2^31. Counter k counts the passages
+  whose k-th hash bit is set. Read as +1 and -1 these 64 sums are a linear
   sketch: the mean square of their differences estimates the number of passages
   that two texts do not share.
 
@@ -24,11 +24,10 @@ from pyspark.sql.window import Window
 from .shared import table
 
 WIDE = 4  # 64-bit hashes, two lanes each
-PACKED = 21  # lanes of three counters
+PACKED = 32  # lanes of two counters
 LOW32 = (1 << 32) - 1
-OFFSETS = (0, 21, 42)
-ONE = sum(1 << s for s in OFFSETS)
-COUNTERS = sum(((1 << 20) - 1) << s for s in OFFSETS)
+LOW31 = (1 << 31) - 1
+ONE = 1 | 1 << 32
 PASSAGE_END = r"[\r\n]+|(?<=[.!?]) +"
 
 #: Bounds of the bucket list that the driver holds.
@@ -36,43 +35,50 @@ CELLS = 4096
 MAX_BUCKETS = 16_384
 
 
-def passages(text: Column) -> Column:
-    """The non-empty passages of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), PASSAGE_END), lambda p: p != "")
+def _lanes(passage: Column) -> list[Column]:
+    """Sums that make the lanes of a group of passages; empty and null passages count nothing.
 
+    No sum overflows: a text of 2^31 bytes has at most 2^30 passages.
+    """
+    some = passage != ""
+    out = [F.count(F.when(some, 1)).cast("long")]
 
-def fingerprint(text: Column) -> Column:
-    """30 lanes as ``array<bigint>``; a null or empty text has zeros."""
-    parts = passages(text)
-    zero = F.lit(0).cast("long")
+    def total(value: Column, mask: int) -> Column:
+        return F.coalesce(F.sum(F.when(some, value)), F.lit(0)).bitwiseAND(F.lit(mask))
 
-    def total(items: Column, value, mask: int) -> Column:
-        return F.aggregate(items, zero, lambda acc, x: (acc + value(x)).bitwiseAND(F.lit(mask)))
+    for k in range(1, WIDE + 1):
+        h = F.xxhash64(F.lit(k), passage)
+        out += [total(h.bitwiseAND(F.lit(LOW32)), LOW32), total(F.shiftrightunsigned(h, 32), LOW32)]
+    h = F.xxhash64(F.lit(0), passage)
+    return out + [total(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONE)), LOW31 | LOW31 << 32) for j in range(PACKED)]
 
-    def hashes(seed: int) -> Column:
-        return F.transform(parts, lambda p: F.xxhash64(F.lit(seed), p))
 
-    lanes = [F.size(parts).cast("long")]
-    for k in range(1, WIDE + 1):
-        hashed = hashes(k)
-        lanes.append(total(hashed, lambda h: h.bitwiseAND(F.lit(LOW32)), LOW32))
-        lanes.append(total(hashed, lambda h: F.shiftrightunsigned(h, 32), LOW32))
-    bits = hashes(0)
-    for j in range(PACKED):
-        lanes.append(total(bits, lambda h, j=j: F.shiftrightunsigned(h, j).bitwiseAND(F.lit(ONE)), COUNTERS))
-    return F.array(*lanes)
+def fingerprints(df: DataFrame, texts: list[str]) -> DataFrame:
+    """A row for each text column of each row: the other columns, ``text_no`` (place in ``texts``) and ``lanes`` (41 numbers).
+
+    A null text counts as empty and has zeros.
+    """
+    kept = [c for c in df.columns if c not in texts]
+    parts = [F.split(F.coalesce(F.col(c), F.lit("")), PASSAGE_END) for c in texts]
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    passages = rows.select(*kept, "_row", F.posexplode(F.array(*parts)).alias("text_no", "_parts")).select(
+        *kept, "_row", "text_no", F.explode("_parts").alias("_passage")
+    )
+    sums = _lanes(F.col("_passage"))
+    return (
+        passages.groupBy(*kept, "_row", "text_no")
+        .agg(*[x.alias(f"_lane{i}") for i, x in enumerate(sums)])
+        .select(*kept, "text_no", F.array(*[F.col(f"_lane{i}") for i in range(len(sums))]).alias("lanes"))
+    )
 
 
 def _lanewise(a: Column, b: Column, sign: int) -> Column:
     def combine(pair: Column, place: Column) -> Column:
         x, y = pair["x"], pair["y"]
         plain = (x + F.lit(sign) * y).bitwiseAND(F.lit(LOW32))
-        packed = F.lit(0).cast("long")
-        for s in OFFSETS:
-            low = F.lit((1 << 20) - 1)
-            one = F.shiftrightunsigned(x, s).bitwiseAND(low) + F.lit(sign) * F.shiftrightunsigned(y, s).bitwiseAND(low)
-            packed = packed + F.shiftleft(one.bitwiseAND(low), s)
-        return F.when(place <= 2 * WIDE, plain).otherwise(packed)
+        low = (x.bitwiseAND(F.lit(LOW31)) + F.lit(sign) * y.bitwiseAND(F.lit(LOW31))).bitwiseAND(F.lit(LOW31))
+        high = (F.shiftrightunsigned(x, 32) + F.lit(sign) * F.shiftrightunsigned(y, 32)).bitwiseAND(F.lit(LOW31))
+        return F.when(place <= 2 * WIDE, plain).otherwise(low + F.shiftleft(high, 32))
 
     return F.transform(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), combine)
 
@@ -89,20 +95,17 @@ def delete(a: Column, b: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal multisets, near 0 for texts that share no passage: 1 - (passages not shared) / (all passages)."""
-    low = F.lit((1 << 20) - 1)
     n_a, n_b = F.element_at(a, 1), F.element_at(b, 1)
     first = 2 + 2 * WIDE
 
     def squares(x: Column, y: Column) -> Column:
-        total = F.lit(0.0)
-        for s in OFFSETS:
-            d = 2 * (F.shiftrightunsigned(x, s).bitwiseAND(low) - F.shiftrightunsigned(y, s).bitwiseAND(low)) - (n_a - n_b)
-            total = total + d.cast("double") * d.cast("double")
-        return total
+        low = 2 * (x.bitwiseAND(F.lit(LOW31)) - y.bitwiseAND(F.lit(LOW31))) - (n_a - n_b)
+        high = 2 * (F.shiftrightunsigned(x, 32) - F.shiftrightunsigned(y, 32)) - (n_a - n_b)
+        return low.cast("double") * low.cast("double") + high.cast("double") * high.cast("double")
 
     spread = F.aggregate(
         F.zip_with(F.slice(a, first, PACKED), F.slice(b, first, PACKED), squares), F.lit(0.0), lambda acc, v: acc + v
-    ) / F.lit(float(PACKED * len(OFFSETS)))
+    ) / F.lit(2.0 * PACKED)
     return (
         F.when(a == b, F.lit(1.0))
         .when(n_a + n_b == 0, F.lit(1.0))
@@ -115,13 +118,13 @@ def as_text(lanes: Column) -> Column:
     return F.array_join(F.transform(lanes, lambda v: F.lower(F.hex(v))), ".")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], rows_per_bucket: int = 1000) -> DataFrame:
-    """Add ``next_<column>`` from the row that follows by ``key``; after the last row comes the first.
+def neighbours(df: DataFrame, key: str, rows_per_bucket: int = 1000) -> DataFrame:
+    """Deal rows to buckets in which each row's follower by ``key`` is at hand; after the last row comes the first.
 
-    Keys fall into buckets of neighbouring values: equal cells of the key range,
-    each cut evenly by its row count. The first row of a bucket is also sent to
-    the bucket before it, so the rest is a window in each bucket. Null keys come
-    first; rows of equal key follow in the order of ``columns``.
+    Keys fall into buckets (``home``) of neighbouring values: equal cells of the
+    key range, each cut evenly by its row count. The first row of a bucket is
+    also sent to the bucket before it, as ``copy`` 1. In the order of home, copy
+    and key every row of copy 0 is followed by its neighbour. Null keys come first.
     """
     spark = df.sparkSession
     x = F.col(key).cast("double")
@@ -165,39 +168,42 @@ def with_next(df: DataFrame, key: str, columns: list[str], rows_per_bucket: int
     ]
     key_type = df.schema[key].dataType.simpleString()
     edges = spark.createDataFrame(before, f"_bucket int, _first {key_type}, _before int")
-    dealt = rows.join(F.broadcast(edges), "_bucket").select(
+    return rows.join(F.broadcast(edges), "_bucket").select(
         *df.columns,
         F.posexplode(
             F.when(F.col(key).eqNullSafe(F.col("_first")), F.array("_bucket", "_before")).otherwise(F.array("_bucket"))
-        ).alias("_copy", "_home"),
-    )
-    window = Window.partitionBy("_home").orderBy("_copy", F.col(key).asc_nulls_first(), *columns)
-    return (
-        dealt.select(*df.columns, "_copy", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
-        .where(F.col("_copy") == 0)
-        .drop("_copy")
+        ).alias("copy", "home"),
     )
 
 
 def op7_multiset_fingerprint(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text. Null texts count as empty; a lone document follows itself."""
+    """Fingerprints of every document and of its edited text.
+
+    Null texts count as empty; rows of equal id follow each other by text; a lone document follows itself.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("lanes", fingerprint(F.col("text"))), "doc_id", ["text", "lanes"])
+    order = ["copy", F.col("doc_id").asc_nulls_first(), "text"]
+    window = Window.partitionBy("home").orderBy(*order)
+    rows = neighbours(docs, "doc_id").select("*", F.lead("text").over(window).alias("following"), F.row_number().over(window).alias("place"))
     n = F.char_length("text").cast("long")
     kept = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (n - kept).cast("int")), F.substring("following", F.lit(1), kept))
     rows = rows.select(
-        "doc_id",
-        n.alias("n_chars"),
-        F.concat(F.substring("text", F.lit(1), (n - kept).cast("int")), F.substring("next_text", F.lit(1), kept)).alias("edited"),
-        "lanes",
-        "next_lanes",
-    ).withColumn("edited_lanes", fingerprint(F.col("edited")))
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        as_text(F.col("lanes")).alias("fingerprint"),
-        as_text(F.col("edited_lanes")).alias("edited_fingerprint"),
-        likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
-        likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
+        "doc_id", "home", "copy", "place", n.alias("n_chars"), "text", edited.alias("edited"),
+        F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"),
+    )
+    told = fingerprints(rows, ["text", "edited"])
+    own = Window.partitionBy("home").orderBy("place", "text_no")
+    return (
+        told.select("*", F.lead("lanes").over(own).alias("edited_lanes"), F.lead("lanes", 2).over(own).alias("next_lanes"))
+        .where((F.col("copy") == 0) & (F.col("text_no") == 0))
+        .select(
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            as_text(F.col("lanes")).alias("fingerprint"),
+            as_text(F.col("edited_lanes")).alias("edited_fingerprint"),
+            likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
+            likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
+        )
     )
