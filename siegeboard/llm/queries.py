@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chunks import op3_chunk_dedup
 from .fingerprint import op7_multiset_fingerprint
 from .language import op4_language_codes
+from .lines import op5_line_runs
 from .mixing import op6_mix_sources
 from .packing import op9_cost_balanced_packing
 from .shards import op2_hypergeometric_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op3_chunk_dedup": op3_chunk_dedup,
     "op4_language_codes": op4_language_codes,
+    "op5_line_runs": op5_line_runs,
     "op6_mix_sources": op6_mix_sources,
     "op7_multiset_fingerprint": op7_multiset_fingerprint,
     "op8_impact_topk": op8_impact_topk,
