@@ -7,6 +7,7 @@ from .fingerprint import op7_multiset_fingerprint
 from .language import op4_language_codes
 from .lines import op5_line_runs
 from .mixing import op6_mix_sources
+from .ngram_join import op10_ngram_jaccard
 from .packing import op9_cost_balanced_packing
 from .shards import op2_hypergeometric_shards
 from .topk import ORACLE as TOPK_ORACLE
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_multiset_fingerprint": op7_multiset_fingerprint,
     "op8_impact_topk": op8_impact_topk,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {"op8_impact_topk": TOPK_ORACLE}
