@@ -6,6 +6,7 @@ from .chunks import op3_chunk_dedup
 from .fingerprint import op7_multiset_fingerprint
 from .language import op4_language_codes
 from .lines import op5_line_runs
+from .lm import op1_context_mixing
 from .mixing import op6_mix_sources
 from .ngram_join import op10_ngram_jaccard
 from .packing import op9_cost_balanced_packing
@@ -14,6 +15,7 @@ from .topk import ORACLE as TOPK_ORACLE
 from .topk import op8_impact_topk
 
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op3_chunk_dedup": op3_chunk_dedup,
     "op4_language_codes": op4_language_codes,
