@@ -45,6 +45,8 @@ SCAN_COST = 2.0
 FREQUENT = 0.01
 MOST_FREQUENT = 1_000_000
 BLOCK = 2048
+#: Members of lists that one task compares, besides a block pair that is larger.
+BUCKET_ROWS = 8192
 FILTER_BITS = 27
 #: After so many rounds all untried pairs between components are tried at once.
 ROUNDS = 5
@@ -95,7 +97,8 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         for i in range(hi - lo):
             a, b = int(begin[i]), int(begin[i + 1])
             if b - a >= WORDS:
-                yield lo + i, np.unique(run[a : b - WORDS + 1])
+                own = np.sort(run[a : b - WORDS + 1])
+                yield lo + i, own[np.concatenate([[True], own[1:] != own[:-1]])]
             elif b > a:
                 yield lo + i, mixed((words[a:b] * _C[: b - a]).sum(keepdims=True) + np.uint64(b - a))
             else:
@@ -254,46 +257,62 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(_close(pairs.distinct(), sets, "members").mapInArrow(_linked, "a bigint, b bigint, ok boolean").distinct())
 
 
-def _meetings(every: bool):
-    """Untried pairs between components of one list block: a spanning forest of the pairs that may link, or every such pair."""
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        tried = set(zip(*(pdf.loc[pdf["other"].notna(), c].astype("int64") for c in ("cid", "other")), strict=True))
-        rows = pdf[pdf["other"].isna()].drop_duplicates("cid").sort_values(["n", "cid"], ignore_index=True)
-        n, cid, block = rows["n"].to_numpy(np.int64), rows["cid"].to_numpy(np.int64), rows["block"].to_numpy()
-        cross = pdf["r1"].iloc[0] != pdf["r2"].iloc[0]
-        comp = pd.factorize(rows["comp"])[0]
-        own = [np.frombuffer(s, dtype="<u8") for s in rows["bits"]]
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {len(x) for x in own}:
-            at = np.array([i for i, x in enumerate(own) if len(x) in (size, 2 * size)])
-            by_size[size] = at, np.stack([own[i] if len(own[i]) == size else folded(own[i]) for i in at])
-        found = []
-        for i in range(len(rows)):
-            at, bits = by_size[len(own[i])]
-            # Sorted by size: partners that come later are as large or larger, up to five fourths.
-            lo, hi = np.searchsorted(at, i + 1), np.searchsorted(at, np.searchsorted(n, n[i] * 5 // 4, side="right"))
-            if lo >= hi:
+def meet(n: list[int], cid: list[int], comp: list[int], block: list[int] | None, bits: list[int], tried: set[tuple[int, int]], every: bool) -> list[tuple[int, int]]:
+    """Untried pairs between the components of one list block whose parities leave a link possible.
+
+    Members come by ascending size; parities are whole numbers of as many bits as
+    ``width`` tells. Either a spanning forest of such pairs, or, with ``every``, all of them.
+    """
+    found = []
+    width = [max(64, 1 << max(0, x - 1).bit_length()) for x in n]
+    half = [(x ^ (x >> (w // 2))) & ((1 << (w // 2)) - 1) for x, w in zip(bits, width, strict=True)]
+    for i in range(len(n)):
+        most, ni, ci, wi, bi = n[i] * 5 // 4, n[i], cid[i], width[i], bits[i]
+        for j in range(i + 1, len(n)):
+            if n[j] > most:
+                break
+            if comp[j] == comp[i] or (block is not None and block[i] == block[j]):
                 continue
-            some = comp[at[lo:hi]] != comp[i]
-            if cross:
-                some &= block[at[lo:hi]] != block[i]
-            if not some.any():
+            apart = (bi ^ (bits[j] if width[j] == wi else half[j])).bit_count()
+            both = ni + n[j]
+            if 9 * ((both - apart) // 2) < 4 * both:
                 continue
-            later = at[lo:hi][some]
-            may = later[9 * overlap_bound(n[later], bits[lo:hi][some], int(n[i]), own[i]) >= 4 * (n[later] + n[i])]
-            for j in may:
-                pair = (int(min(cid[i], cid[j])), int(max(cid[i], cid[j])))
-                if pair in tried or (not every and comp[i] == comp[j]):
-                    continue
-                found.append(pair)
-                if not every:
-                    comp[comp == comp[j]] = comp[i]
-        head = pdf.iloc[0]
-        out = pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        return out.assign(list=np.int64(head["list"]), r1=np.int64(head["r1"]), r2=np.int64(head["r2"]))[["list", "r1", "r2", "a", "b"]]
+            pair = (ci, cid[j]) if ci < cid[j] else (cid[j], ci)
+            if pair in tried:
+                continue
+            found.append(pair)
+            if not every:
+                old, new = comp[j], comp[i]
+                comp = [new if c == old else c for c in comp]
+    return found
+
 
-    return meet
+MEMBERS = "bucket int, list bigint, r1 int, r2 int, cid bigint, comp bigint, block int, other bigint, n bigint, bits binary"
+FOUND = "list bigint, r1 int, r2 int, a bigint, b bigint"
+
+
+def _meetings(every: bool):
+    def in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All list blocks of a bucket; rows with ``n`` 0 are tried pairs."""
+        pdf = pdf.sort_values(["list", "r1", "r2", "n", "cid"], ignore_index=True)
+        key = pdf[["list", "r1", "r2"]].to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
+        columns = {c: pdf[c].tolist() for c in ("n", "cid", "comp", "block", "other")}
+        bits = [int.from_bytes(x, "little") if x is not None else 0 for x in pdf["bits"]]
+        out = []
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            n, cid, comp, block, other = (columns[c][lo:hi] for c in ("n", "cid", "comp", "block", "other"))
+            first = sum(1 for x in n if x == 0)
+            tried = set(zip(cid[:first], other[:first], strict=True))
+            rows = [i for i in range(first, hi - lo) if i == first or cid[i] != cid[i - 1]]
+            head = key[lo].tolist()
+            own = ([x[i] for i in rows] for x in (n, cid, comp, block))
+            n, cid, comp, block = own
+            cross = block if head[1] != head[2] else None
+            out += [(*head, a, b) for a, b in meet(n, cid, comp, cross, [bits[lo + i] for i in rows], tried, every)]
+        return pd.DataFrame(out, columns=["list", "r1", "r2", "a", "b"]).astype("int64")
+
+    return in_bucket
 
 
 def shingle_classes(docs: DataFrame, id_column: str) -> DataFrame:
@@ -394,41 +413,44 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
     may = stored(_close(stars, sets, "bits").where(fit).mapInArrow(_may_link, "a bigint, b bigint"))
     told = verified(may, sets)
     links = told.where("ok").select("a", "b")
-    # Stars told apart by their bounds cannot link; later rounds meet the same bounds again and skip them.
+    # Stars told apart by their bounds cannot link, so all pairs with a list's first member are done with.
+    others = members.join(heads, "list").where("cid <> head").drop("head")
     tried = None
     failed_stars = stored(told.where("not ok").select("a", "b"))
     for turn in range(1, ROUNDS + 1):
         comps = connected(links)
-        live = members.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        live = others.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         open_ = live.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
         live = stored(live.join(open_, "list"))
-        if live.isEmpty():
+        size = live.count()
+        if not size:
             break
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("cid", "list"), blocks).cast("int")
-        dealt = live.withColumn("block", own).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select(
-            "list", F.least("block", "x").alias("r1"), F.greatest("block", "x").alias("r2"), "cid", "comp", "block", F.lit(None).cast("bigint").alias("other")
-        ).join(sets.select("cid", "n", "bits"), "cid")
-        columns = ["list", "r1", "r2", "cid", "comp", "block", "other", "n", "bits"]
-        rows = dealt.select(*columns)
+        dealt = (
+            live.withColumn("block", F.pmod(F.xxhash64("cid", "list"), blocks).cast("int"))
+            .withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .withColumn("r1", F.least("block", "x"))
+            .withColumn("r2", F.greatest("block", "x"))
+            .join(sets.select("cid", "n", "bits"), "cid")
+            .withColumn("other", F.lit(0).cast("bigint"))
+        )
+        bucket = F.pmod(F.xxhash64("list", "r1", "r2"), F.lit(-(-size // BUCKET_ROWS))).cast("int").alias("bucket")
+        names = [x.split()[0] for x in MEMBERS.split(", ")][1:]
+        rows = dealt.select(bucket, *names)
         if tried is not None:
-            rows = rows.unionByName(
-                tried.join(open_, "list").select(
-                    "list", "r1", "r2", F.col("a").alias("cid"), F.lit(None).cast("bigint").alias("comp"), F.lit(-1).alias("block"),
-                    F.col("b").alias("other"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"),
-                )
+            done = tried.join(open_, "list").select(
+                "list", "r1", "r2", F.col("a").alias("cid"), F.lit(0).cast("bigint").alias("comp"), F.lit(0).alias("block"),
+                F.col("b").alias("other"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"),
             )
-        found = stored(
-            rows.groupBy("list", "r1", "r2").applyInPandas(_meetings(turn == ROUNDS), "list bigint, r1 bigint, r2 bigint, a bigint, b bigint")
-        )
+            rows = rows.unionByName(done.select(bucket, *names))
+        found = stored(rows.groupBy("bucket").applyInPandas(_meetings(turn == ROUNDS), FOUND))
         if found.isEmpty():
             break
         told = verified(found.select("a", "b").join(failed_stars, ["a", "b"], "left_anti"), sets)
-        links = links.unionByName(told.where("ok").select("a", "b"))
-        failed = found.join(told.where("ok").select("a", "b"), ["a", "b"], "left_anti")
-        tried = failed if tried is None else tried.unionByName(failed)
-        tried = stored(tried)
+        good = told.where("ok").select("a", "b")
+        links = links.unionByName(good)
+        failed = found.join(good, ["a", "b"], "left_anti").select(*[x.split()[0] for x in FOUND.split(", ")])
+        tried = stored(failed if tried is None else tried.unionByName(failed))
     return links
 
 
