@@ -477,7 +477,15 @@ def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each near-duplicate group the document of the smallest id stays, once; rows with a null id stay."""
-    groups = near_duplicate_groups(docs, "doc_id")
+    """Pipeline stage: of each near-duplicate group the document of the smallest id stays, once.
+
+    Rows without words and rows with a null id stay; a row repeated with id and text stays once.
+    """
+    groups = stored(near_duplicate_groups(docs, "doc_id"))
     gone = groups.where("doc <> component_id").select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = stored(groups.where("n_shingles > 0").groupBy(F.col("doc").alias("doc_id")).count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
