@@ -48,6 +48,8 @@ BLOCK = 2048
 #: Members of lists that one task compares, besides a block pair that is larger.
 BUCKET_ROWS = 8192
 FILTER_BITS = 27
+#: Parity bits for each shingle, at least.
+PARITY = 4
 #: After so many rounds all untried pairs between components are tried at once.
 ROUNDS = 5
 
@@ -151,9 +153,14 @@ def keys_of(shingles: np.ndarray, boundary: int, frequent: np.ndarray, rank: np.
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def parity_width(n: int) -> int:
+    """Bits of the parities of ``n`` shingles: so many that bounds at a similarity below about 0.79 rule a link out."""
+    return max(64, PARITY * (1 << max(0, n - 1).bit_length()))
+
+
 def parity_bits(shingles: np.ndarray) -> bytes:
-    """A bit for each residue of the hashes, as many as shingles or more, set where an odd number fall."""
-    bits = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    """A bit for each residue of the hashes, more than shingles, set where an odd number fall."""
+    bits = parity_width(len(shingles))
     odd = np.bincount((mixed(shingles ^ _C[2]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -264,7 +271,7 @@ def meet(n: list[int], cid: list[int], comp: list[int], block: list[int] | None,
     ``width`` tells. Either a spanning forest of such pairs, or, with ``every``, all of them.
     """
     found = []
-    width = [max(64, 1 << max(0, x - 1).bit_length()) for x in n]
+    width = [parity_width(x) for x in n]
     half = [(x ^ (x >> (w // 2))) & ((1 << (w // 2)) - 1) for x, w in zip(bits, width, strict=True)]
     for i in range(len(n)):
         most, ni, ci, wi, bi = n[i] * 5 // 4, n[i], cid[i], width[i], bits[i]
