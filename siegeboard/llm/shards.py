@@ -98,7 +98,7 @@ def shuffle_into_shards(df: DataFrame, identity: list[str], shards: int = 16, se
         dealt.withColumn("_rank", F.row_number().over(inside) - 1)
         .join(F.broadcast(starts), ["shard", "_piece"])
         .withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long"))
-        .drop("_piece", "_start", "_rank")
+        .select(*df.columns, "shard", "slot")
     )
 
 
