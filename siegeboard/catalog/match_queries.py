@@ -99,7 +99,7 @@ def difficulty_tiers(spark: SparkSession, sf: str) -> DataFrame:
 def tiered_sample_query(spark: SparkSession, sf: str) -> DataFrame:
     state, _ = extended(spark, sf)
     ties = [col(k).asc_nulls_first() for k in vs.KEYS]
-    return tiered_sample(state.sized, ties).select(*settings(), *sizes())
+    return tiered_sample(state.sized, ties, 50, 10).select(*settings(), *sizes())
 
 
 @query(

@@ -353,7 +353,7 @@ def rating_document(spark, sf):
     root = scratch(spark)
     table = ratings(spark, sf).withColumn("Player", F.concat("ai", F.lit(" "), col("Player").cast("string")))
     ta.write_rating_json(table, f"{root}/pve_ratings")
-    entries = spark.read.text(f"{root}/pve_ratings").where(F.col("value").rlike(r'^,?"[^"]*":[0-9]'))
+    entries = spark.read.text(f"{root}/pve_ratings").where(F.col("value").rlike(r'^,?"[^"]*":([0-9]|null)'))
     parsed = F.from_json(F.concat(F.lit("{"), F.regexp_replace("value", "^,", ""), F.lit("}")), "map<string,double>")
     found = entries.select(F.explode(parsed).alias("player", "rating"))
     return found.select(
@@ -531,11 +531,11 @@ def lobby_summary(spark, sf):
 @query(
     "display_ratings",
     vs.RATED
-    + """ select ai, case when player = 0 then '' else cast(player as varchar) end player, regexp_replace(cast(cast(round(pve_rating::float::double, 2) as decimal(18, 2)) as varchar), '\\.0+$', '') rating,
+    + """ select * exclude (w1), w1 || repeat(' ', greatest(0, 4 - length(w1))) weighted from (select ai, case when player = 0 then '' else cast(player as varchar) end player, regexp_replace(cast(cast(round(pve_rating::float::double, 2) as decimal(18, 2)) as varchar), '\\.0+$', '') rating,
       cast(cast(round(coalesce(win_rate, 0)::double * 100, 0) as bigint) as varchar) || '%' win_rate,
       cast(cast(round(coalesce(award_rate, 0)::double * 100, 0) as bigint) as varchar) || '%' award_rate,
       regexp_replace(cast(cast(round(score::float::double * 100, 1) as decimal(18, 1)) as varchar), '\\.0+$', '') score,
-      rpad(regexp_replace(cast(cast(round(weighted::double, 1) as decimal(18, 1)) as varchar), '\\.0+$', ''), 4, ' ') weighted from rated""".replace("\\\\", "\\"),
+      regexp_replace(cast(cast(round(weighted::double, 1) as decimal(18, 1)) as varchar), '\\.0+$', '') w1 from rated)""".replace("\\\\", "\\"),
 )
 def display_ratings(spark, sf):
     """Viewer cells of the rating table in view order."""

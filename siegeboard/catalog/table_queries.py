@@ -343,9 +343,12 @@ def hyperlink(spark, sf):
 @query(
     "display_formats",
     """select l_orderkey, l_linenumber, l_partkey, cast(cast(round(l_discount * 100, 0) as bigint) as varchar) || '%' as percent,
-         rpad(regexp_replace(cast(cast(round(l_quantity / 4, 1) as decimal(18, 1)) as varchar), '\\.0+$', ''), 4, ' ') one_decimal,
+         a || repeat(' ', greatest(0, 4 - length(a))) one_decimal, b || repeat(' ', greatest(0, 4 - length(b))) wide_decimal,
          case when l_linenumber = 1 then '' else cast(l_linenumber - 1 as varchar) end blank,
-         case when l_quantity > 20 then '>20' else cast(cast(l_quantity as int) as varchar) end games from lineitem""".replace("\\\\", "\\"),
+         case when l_linenumber = 1 then '' else cast((l_linenumber - 1) * 0.5::double as varchar) end blank_double,
+         case when l_quantity > 20 then '>20' else cast(cast(l_quantity as int) as varchar) end games from (select *,
+           regexp_replace(cast(cast(round(l_quantity / 4, 1) as decimal(18, 1)) as varchar), '\\.0+$', '') a,
+           regexp_replace(cast(cast(round(l_quantity * 1001 / 4, 1) as decimal(18, 1)) as varchar), '\\.0+$', '') b from lineitem)""".replace("\\\\", "\\"),
 )
 def display_formats(spark, sf):
     return table(spark, sf, "lineitem").select(
@@ -354,7 +357,9 @@ def display_formats(spark, sf):
         "l_partkey",
         tx.percent(F.col("l_discount")).alias("percent"),
         tx.one_decimal(F.col("l_quantity") / 4).alias("one_decimal"),
+        tx.one_decimal(F.col("l_quantity") * 1001 / 4).alias("wide_decimal"),
         tx.blank_zero(F.col("l_linenumber") - 1).alias("blank"),
+        tx.blank_zero((F.col("l_linenumber") - 1) * F.lit(0.5)).alias("blank_double"),
         games_label(F.col("l_quantity").cast("int")).alias("games"),
     )
 

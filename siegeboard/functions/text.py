@@ -34,11 +34,18 @@ def percent(value: Column, digits: int = 0) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    return F.rpad(drop_zero_decimals(fixed(value, 1)), 4, " ")
+    """At least four characters; longer numbers stay whole."""
+    text = drop_zero_decimals(fixed(value, 1))
+    return F.concat(text, F.repeat(F.lit(" "), F.greatest(F.lit(0), 4 - F.length(text))))
 
 
 def blank_zero(value: Column) -> Column:
-    return F.when(value.cast("string") == "0", F.lit("")).otherwise(value.cast("string"))
+    """A number as text, zero of any number type as blank."""
+    return F.when(value == 0, F.lit("")).otherwise(value.cast("string"))
+
+
+def blank_zero_text(value: Column) -> Column:
+    return F.when(value == "0", F.lit("")).otherwise(value)
 
 
 def lobby_number(text: Column) -> Column:

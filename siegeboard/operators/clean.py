@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import matches as mx
 from ..functions.keys import col
@@ -129,7 +128,3 @@ def mark_refetch(df: DataFrame, settled: Column | None = None, need_map: bool =
         missing = missing | F.col("Map.scriptName").isNull()
     kept = F.col("fetch_success") if settled is None else settled
     return df.withColumn("fetch_success", F.when(~missing, kept))
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

@@ -123,17 +123,15 @@ def category_f_scores(df: DataFrame, texts: Sequence[str], target: str) -> DataF
     the count and the target sum of its value.
     """
     y = col(target).cast("double")
-    whole = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")).first()
+    whole = df.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("var")).first()
     pairs = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast("string").alias("v")) for c in texts])), y.alias("y")
     )
-    per_value = pairs.groupBy("c", "v").agg(F.count(F.lit(1)).alias("m"), F.sum("y").alias("my"))
-    n, sy, syy = float(whole["n"]), F.lit(whole["sy"]), F.lit(whole["syy"])
-    m = F.col("m").cast("double")
-    cov = n * F.col("my") - m * sy
-    var_x = m * (n - m)
-    var_y = n * syy - sy * sy
-    r = F.try_divide(cov, F.sqrt(var_x * var_y))
+    per_value = pairs.groupBy("c", "v").agg(F.count(F.lit(1)).alias("m"), F.avg("y").alias("own"))
+    n = float(whole["n"])
+    share = F.col("m") / n
+    cov = share * (F.col("own") - F.lit(whole["mean"]))
+    r = F.try_divide(cov, F.sqrt(share * (1 - share) * F.lit(whole["var"])))
     return per_value.select(
         F.concat("c", F.lit("_"), F.coalesce("v", F.lit("null"))).alias("Feature"), f_score(r, F.lit(n)).alias("f_score")
     )
@@ -154,8 +152,8 @@ def forest(seed: int, trees: int = 100, leaf: int = 10) -> RandomForestRegressor
 def forest_importance(
     df: DataFrame, numbers: Sequence[str], texts: Sequence[str], target: str, seed: int = 7, trees: int = 100
 ) -> DataFrame:
-    """Forest importance per feature beside its correlation or F statistic."""
-    features = SettingFeatures(numbers, texts).fit(df)
+    """Forest importance per feature beside its correlation or F statistic; numbers are not rotated, so each weight is its column's."""
+    features = SettingFeatures(numbers, texts, rotate=False).fit(df)
     ready = features.transform(df).select("features", col(target).cast("double").alias("label"))
     model = forest(seed, trees).fit(ready)
     weights = model.featureImportances.toArray().tolist()

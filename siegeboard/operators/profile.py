@@ -95,7 +95,3 @@ def last_player_win(df: DataFrame, start: str, ai_wins: dict[str, str]) -> DataF
 def prefix_counts(df: DataFrame, name: str, separator: str = "_") -> DataFrame:
     """How many names share the part before the first separator."""
     return df.groupBy(F.split(col(name), separator).getItem(0).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def feature_prefixes(names: Sequence[str], spark) -> DataFrame:
-    return prefix_counts(spark.createDataFrame([(n,) for n in names], "feature string"), "feature")

@@ -17,17 +17,12 @@ from .clean import label_games
 from .joins import join_by_replay, translate_names
 from .tiers import link_tier
 
-REPLAY_LISTS = ["Win Replays", "Merged Win Replays", "Loss Replays", "Merged Loss Replays"]
 
 # First lines of every setup text.
 SETUP_HEADER = "!preset coop\n!draft_mode disabled\n!unit_market 1\n!teamsize 16\n"
 SKIPPED_IN_SETUP = ("nuttyb_hp", "Barbarian Handicap", "Barbarian Per Player")
 
 
-def hyperlinks(df: DataFrame, base: str, columns: Sequence[str] = tuple(REPLAY_LISTS)) -> DataFrame:
-    return df.withColumns({c: tx.hyperlink(col(c), base) for c in columns if c in df.columns})
-
-
 def group_link(ai: Column, difficulty: Column, index: Column, site: str) -> Column:
     """Address of one group row in the viewer."""
     return F.concat(
@@ -104,17 +99,17 @@ def setup_text(
     return groups.withColumn(out, F.concat_ws("", F.lit(SETUP_HEADER), maps, *lines, welcome, rename))
 
 
-def recent_games(games: DataFrame, groups: DataFrame, names: DataFrame, n: int = 10_000) -> DataFrame:
-    """Newest ``n`` labelled games with the settings of their group.
+def recent_games(games: DataFrame, groups: DataFrame, names: DataFrame, n: int | None = None) -> DataFrame:
+    """Labelled games, newest first, with the settings of their group; with ``n`` the newest ``n``.
 
-    The cut to ``n`` comes before the joins: a game belongs to one group at most.
+    A cut to ``n`` comes before the joins: a game belongs to one group at most.
     """
     labelled = label_games(games).where(F.col("AI").isNotNull())
     labelled = labelled.withColumn("Map", tx.normalize_map_name(F.col("Map.scriptName")))
     base = labelled.select(
         "startTime", "AI", "id", "Result", F.col("players").alias("Players"), "Map", "Barbarian Handicap", "Barbarian Per Player"
     )
-    newest = materialize(base.orderBy(F.col("startTime").desc(), F.col("id").desc()).limit(n))
+    newest = materialize(base if n is None else base.orderBy(F.col("startTime").desc(), F.col("id").desc()).limit(n))
     named = translate_names(newest, ["id"], "Players", names)
     found = groups.drop("Winners", "Merged Win Replays", "Merged Loss Replays")
     joined = join_by_replay(named, found, ["Win Replays", "Loss Replays"])
@@ -176,8 +171,10 @@ def display(df: DataFrame, view: str) -> DataFrame:
         value = col(field.name)
         if field.name in formats:
             value = formats[field.name](value)
-        elif not isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        elif isinstance(field.dataType, T.NumericType):
             value = tx.blank_zero(value)
+        elif not isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            value = tx.blank_zero_text(value.cast("string"))
         shown.append(value.alias(field.name))
     return df.select(*shown)
 
@@ -206,10 +203,3 @@ def lobby_summary(neighbours: DataFrame, ratings: DataFrame) -> DataFrame:
     return near.select("*", one).join(rated.select("*", one), "_one").drop("_one")
 
 
-def with_names(groups: DataFrame, names: DataFrame, columns: Sequence[str], key: str = "gid") -> DataFrame:
-    """Translate several id lists of a report."""
-    for column in columns:
-        groups = translate_names(groups, [key], column, names)
-    return groups
-
-

@@ -46,8 +46,8 @@ def link_tier(value: Column) -> Column:
     return F.when(value == 1, "unbeaten").when(value == 0, "easy").otherwise("regular")
 
 
-def tiered_sample(groups: DataFrame, ties: Sequence[Column], hard: int = 50, easy: int = 10) -> DataFrame:
-    """The most played unbeaten groups, all between, and the most played easiest."""
+def tiered_sample(groups: DataFrame, ties: Sequence[Column], hard: int, easy: int) -> DataFrame:
+    """The ``hard`` most played unbeaten groups, all between, and the ``easy`` most played easiest."""
     d = F.col("Difficulty")
     most_played = [F.col("#Players").desc(), *ties]
     lowest = groups.agg(F.min("Difficulty")).first()[0]
@@ -59,10 +59,10 @@ def tiered_sample(groups: DataFrame, ties: Sequence[Column], hard: int = 50, eas
     )
 
 
-def fetch_queue(df: DataFrame, n: int, start: str = "startTime", key: str = "id") -> DataFrame:
-    """Newest ``n`` ids without fetched details."""
-    waiting = df.where(F.col("fetch_success").isNull())
-    return waiting.orderBy(col(start).desc(), col(key).desc()).limit(n).select(col(key))
+def fetch_queue(df: DataFrame, n: int | None = None, start: str = "startTime", key: str = "id") -> DataFrame:
+    """Ids without fetched details, newest first; with ``n`` the newest ``n``."""
+    waiting = df.where(F.col("fetch_success").isNull()).orderBy(col(start).desc(), col(key).desc())
+    return (waiting if n is None else waiting.limit(n)).select(col(key))
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:

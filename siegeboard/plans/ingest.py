@@ -6,15 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import col
-from ..operators.clean import cast_matches, derive_ai_flags
+from ..operators.clean import derive_ai_flags
 from ..operators.columns import align_columns, append_rows
 from ..operators.filters import eligible_matches
 from ..operators.joins import fill_nested, join_one_to_one, new_matches, update
+from ..operators.settings import INTEGER_COLUMNS, ONE_DECIMAL_COLUMNS, SPAWN_COLUMNS, TEXT_COLUMNS
 from ..operators.tiers import fetch_queue
 
 MONTH = "month"
+#: Columns that keep the type they come with.
+KEPT = ("id", "durationMs")
 
 
 def append_root(root: DataFrame, listed: DataFrame, refresh: bool = False) -> DataFrame:
@@ -35,21 +39,44 @@ def attach_details(root: DataFrame, details: DataFrame) -> DataFrame:
     return update(joined, details.select("id", "Map Name"), ["id"])
 
 
+def declared(df: DataFrame) -> DataFrame:
+    """Raw values under the types of the stored table, the same for every batch and month.
+
+    Texts are strings and all numbers outside of ids and times are doubles, which
+    hold whole settings and fractions alike. A text that is no number
+    raises. Narrow types and the turned spawn multipliers are made once, by
+    ``cast_matches``, when the stored rows are published.
+    """
+    numbers = {*INTEGER_COLUMNS, *SPAWN_COLUMNS, *ONE_DECIMAL_COLUMNS} - {*TEXT_COLUMNS, *KEPT}
+    changes = {}
+    for field in df.schema.fields:
+        if field.name in TEXT_COLUMNS:
+            changes[field.name] = col(field.name).cast("string")
+        elif field.name in numbers or (isinstance(field.dataType, T.NumericType) and field.name not in KEPT):
+            changes[field.name] = col(field.name).cast("double")
+    return df.withColumns(changes) if changes else df
+
+
+def read_details(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table with the columns of all its months."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def apply_fetched(table: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Write fetched details into the table: nested parts where missing, settings where given."""
-    typed = cast_matches(fetched).drop("startTime")
+    """Write fetched details into the table: nested parts where missing, raw settings where given."""
+    table, typed = declared(table), declared(fetched).drop("startTime")
     filled = fill_nested(table, typed.select("id", "awards", "Map"))
     widened, _ = align_columns(filled, typed.drop("awards", "Map"))
     return update(widened, typed.drop("awards", "Map"), ["id"])
 
 
-def pending(table: DataFrame, limit: int = 500) -> DataFrame:
+def pending(table: DataFrame, limit: int | None = None) -> DataFrame:
     return fetch_queue(table, limit)
 
 
 def store_by_month(df: DataFrame, path: str, start: str = "startTime") -> None:
     """Write a table in month partitions, replacing only the months that ``df`` holds."""
-    months = df.withColumn(MONTH, F.date_format(col(start), "yyyy-MM"))
+    months = declared(df).withColumn(MONTH, F.date_format(col(start), "yyyy-MM"))
     months.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
 
 
@@ -66,6 +93,6 @@ def merge_details(spark: SparkSession, path: str, fetched: DataFrame) -> Sequenc
     """
     months = touched_months(spark, path, fetched)
     if months:
-        part = spark.read.parquet(path).where(F.col(MONTH).isin(months)).drop(MONTH)
+        part = read_details(spark, path).where(F.col(MONTH).isin(months)).drop(MONTH)
         store_by_month(apply_fetched(part, fetched), path)
     return months

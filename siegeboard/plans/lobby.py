@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lobby_number, normalize_map_name
+from ..functions.text import lobby_number
 from ..operators.filters import lobby_players
 from ..operators.importance import SettingFeatures
 from ..operators.joins import zip_rows
@@ -55,7 +55,3 @@ def lobby_table(neighbours: DataFrame, ratings: DataFrame, lobby: DataFrame) ->
         elif kind in ("int", "bigint", "string") and name != "row":
             texts[name] = F.coalesce(lobby_number(F.col(f"`{name}`").cast("string")), F.lit(""))
     return shown.withColumns(texts).drop("row")
-
-
-def lobby_map(text: Column) -> Column:
-    return normalize_map_name(text)

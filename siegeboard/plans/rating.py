@@ -15,9 +15,8 @@ from ..operators.filters import plain_barbarian, split_ai
 from ..operators.groups import list_by_order, own_replays, with_group_key
 from ..operators.names import latest_names, name_sightings
 from ..operators.players import player_ratings, setting_index
-from ..operators.report import in_view_order, setup_text
+from ..operators.report import setup_text
 from ..operators.settings import ai_roles
-from ..operators.tiers import first_rows
 from ..plans.joins import join_lookup
 from ..roles import MatchColumns, SettingRoles
 from ..session import materialize
@@ -109,15 +108,9 @@ def rate_side(
     option_defaults: DataFrame,
     site: str,
     document: str = "",
-    barbarian_cap: int | None = 1000,
 ) -> RatedSide:
-    """Group, extend and rate the matches against one AI.
-
-    ``barbarian_cap`` is the published limit for that side; None lifts it.
-    """
+    """Group, extend and rate all matches against one AI."""
     games = split_ai(derived, ai)
-    if ai == "Barbarian" and barbarian_cap is not None:
-        games = first_rows(games, barbarian_cap, [F.col("startTime"), F.col("id")])
     games = (
         games.select("*", "damage_eco_award.*")
         .drop("damage_eco_award", "AllyTeams", "AllyTeamsList")
@@ -150,13 +143,12 @@ def rate(
     site: str,
     tweaks: DataFrame | None = None,
     document: str = "",
-    barbarian_cap: int | None = 1000,
 ) -> dict[str, RatedSide]:
     """Whole rating job over a match-detail table; writes all published tables."""
     derived = materialize(derive_matches(cast_matches(details), tweaks))
     names = materialize(latest_names(name_sightings(derived)))
     sides = {
-        ai: rate_side(derived, ai, names, option_defaults, site, document, barbarian_cap) for ai in AIS
+        ai: rate_side(derived, ai, names, option_defaults, site, document) for ai in AIS
     }
     reports = None
     ratings = None
@@ -168,7 +160,3 @@ def rate(
     write_table(ratings, f"{out}/player_ratings", ["ai"])
     write_rating_json(ratings.withColumn("ai", F.concat("ai", F.lit("AI"))), f"{out}/pve_ratings")
     return sides
-
-
-def published_ratings(ratings: DataFrame) -> DataFrame:
-    return in_view_order(ratings, "ratings")

@@ -13,9 +13,9 @@ from ..sources.tables import write_recent
 
 
 def publish_recent(
-    spark: SparkSession, details: DataFrame, root: str, n: int = 10_000, tweaks: DataFrame | None = None
+    spark: SparkSession, details: DataFrame, root: str, n: int | None = None, tweaks: DataFrame | None = None
 ) -> DataFrame:
-    """Write and return the newest games with their setting groups."""
+    """Write and return all games, or the newest ``n``, with their setting groups."""
     derived = materialize(derive_matches(cast_matches(details), tweaks))
     names = latest_names(name_sightings(derived))
     groups = spark.read.parquet(f"{root}/setting_groups").where(F.col("tier") == "all").drop("ai", "tier")

@@ -56,9 +56,9 @@ def write_tiers(groups: DataFrame, path: str, by: Sequence[str] = ("ai",)) -> No
     write_table(tiered(groups, by, with_all=True), path, [*by, "tier"])
 
 
-def write_recent(df: DataFrame, path: str, n: int, order: Sequence[Column]) -> None:
-    """Keep the newest ``n`` rows of a report."""
-    write_table(first_rows(df, n, order), path)
+def write_recent(df: DataFrame, path: str, n: int | None, order: Sequence[Column]) -> None:
+    """Write a report; with ``n`` only its first ``n`` rows in ``order``."""
+    write_table(df if n is None else first_rows(df, n, order), path)
 
 
 def rating_document(ratings: DataFrame, ai: str = "ai", player: str = "Player", rating: str = "PVE Rating") -> DataFrame:

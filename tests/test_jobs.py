@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siegeboard.operators import joins as jo
 from siegeboard.operators import names as na
+from siegeboard.operators.clean import cast_matches
 from siegeboard.operators.knn import knn
 from siegeboard.plans import ingest as ig
 from siegeboard.plans.joins import join_skewed
@@ -160,6 +161,26 @@ def test_details_merge_touches_months_once(spark, tmp_path):
     assert [r["id"] for r in ig.pending(spark.read.parquet(path), 5).collect()] == ["b"]
 
 
+def test_details_keep_values_of_all_batches(spark, tmp_path):
+    """Wide values, fractions and new columns of later batches read back as fetched, and are turned once."""
+    good = [humans(True, (1, 0)), bots(False, RAPTOR)]
+    days = {"a": "2024-05-01 00:00:00", "b": "2024-06-01 00:00:00", "c": "2024-07-01 00:00:00"}
+    path = str(tmp_path / "details")
+    ig.store_by_month(frame(spark, [match(i, good, at=at, fetched=None) for i, at in days.items()]).withColumn("startmetal", F.lit(None).cast("int")), path)
+    for i, metal in (("a", "500"), ("b", "70000"), ("c", "1.5")):
+        batch = frame(spark, [match(i, good, at=days[i], given=awards(0, 3.0, 0))]).withColumn("startmetal", F.lit(metal))
+        if i != "b":
+            batch = batch.withColumn("raptor_spawntimemult", F.lit("2"))
+        assert ig.merge_details(spark, path, batch) == [days[i][:7]]
+    stored = ig.read_details(spark, path)
+    assert dict(stored.dtypes)["startmetal"] == "double"
+    got = {r["id"]: r for r in stored.collect()}
+    assert [got[i]["startmetal"] for i in "abc"] == [500.0, 70000.0, 1.5]
+    assert [got[i]["raptor_spawntimemult"] for i in "abc"] == [2.0, None, 2.0]
+    shown = {r["id"]: r for r in cast_matches(stored).collect()}
+    assert shown["b"]["startmetal"] == 70000 and [shown[i]["raptor_spawntimemult"] for i in "ac"] == [0.5, 2.0]
+
+
 def test_attach_details(spark):
     good = [humans(True, (1, 0)), bots(False, RAPTOR)]
     root = frame(spark, [match("a", good, name="A"), match("x", good, duration=0)]).select(*[F.col(f"`{c}`") for c in la.ROOT_COLUMNS])
