@@ -314,17 +314,17 @@ def replay_groups(spark: SparkSession, sf: str) -> DataFrame:
         from k join (select gid, count(distinct p) filter (not ai_win) w, count(distinct p) n from own group by gid) using (gid))
     select strftime(start_time, '%Y-%m-%d') start_day, ai, cast(id as varchar) id, case when ai_win then 'Loss' else 'Win' end result,
       crew, map_name "map", round(difficulty::double, 6) difficulty, cast(difficulty_ord as bigint) difficulty_ord
-    from (select * from gk where {FAIR} order by start_time desc, cast(id as varchar) desc limit 10000) gk
+    from (select * from gk where {FAIR}) gk
     join plain using (gid)
     join (select id, string_agg('player ' || p, ', ' order by i) crew from (
         select id, unnest(players) p, generate_subscripts(players, 1) i from g) group by 1) using (id)""",
 )
 def recent_games(spark, sf):
-    """Newest ten thousand games with names, result and their group's settings."""
+    """All games with names, result and their group's settings."""
     derived = materialize(cl.derive_matches(records(spark, sf)).drop(*VIEW_ROLES.settings))
     names = na.latest_names(na.name_sightings(derived))
     groups = replay_groups(spark, sf).select("Win Replays", "Loss Replays", "Difficulty", "difficulty_ord")
-    shown = rp.recent_games(derived, groups, names, 10_000)
+    shown = rp.recent_games(derived, groups, names)
     return shown.select(
         F.date_format(col("Start Time"), "yyyy-MM-dd").alias("start_day"),
         F.col("AI").alias("ai"),
