@@ -11,7 +11,8 @@ exact, since any order gives all partners. The boundary between light and heavy
 is where the number of keys, with the reading of lists weighed in, is least.
 
 Lists of equal members are one. Each list's members are first compared with
-its first member, and connected components are formed. In lists that
+its first member, the likeliest pair of a member before its others, and
+connected components are formed. In lists that
 still hold several components, only members of different components meet, in
 blocks of bounded size. A bitmap of set parities gives an upper bound of the
 overlap, which ends most comparisons; the rest compare whole sets. A pair that
@@ -227,15 +228,25 @@ def connected(links: DataFrame) -> DataFrame:
     return stored(comp)
 
 
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    side = {x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"}
+    both = pairs.join(side["a"], "a", "left").join(side["b"], "b", "left")
+    return both.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+
 def _close(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     """Attach a column of ``sets`` for both ends of pairs."""
     side = {x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"v_{x}")) for x in "ab"}
     return pairs.join(side["b"], "b").join(side["a"], "a")
 
 
+MAY = "a bigint, b bigint, bound double"
+
+
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = [], []
+        a, b, bound = [], [], []
         columns = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "v_a", "v_b"))
         for x, y, n, m, s, t in zip(*columns, strict=True):
             u, v = np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8")
@@ -243,10 +254,12 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 u = folded(u)
             while len(v) > len(u):
                 v = folded(v)
-            if 9 * int(overlap_bound(np.array([n]), u[None, :], m, v)[0]) >= 4 * (n + m):
+            most = int(overlap_bound(np.array([n]), u[None, :], m, v)[0])
+            if 9 * most >= 4 * (n + m):
                 a.append(x)
                 b.append(y)
-        yield record_batch("a bigint, b bigint", a, b)
+                bound.append(most / (n + m))
+        yield record_batch(MAY, a, b, bound)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,8 +430,12 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
     heads = members.groupBy("list").agg(F.min("cid").alias("head"))
     stars = members.join(heads, "list").where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
     fit = (F.col("n_a") * 4 <= F.col("n_b") * 5) & (F.col("n_b") * 4 <= F.col("n_a") * 5)
-    may = stored(_close(stars, sets, "bits").where(fit).mapInArrow(_may_link, "a bigint, b bigint"))
-    told = verified(may, sets)
+    may = stored(_close(stars, sets, "bits").where(fit).mapInArrow(_may_link, MAY))
+    # One pair for each member, the likeliest; then the other pairs whose ends are still apart.
+    likeliest = may.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")).select("a", "b")
+    told = verified(likeliest, sets)
+    comps = connected(told.where("ok").select("a", "b"))
+    told = told.unionByName(verified(apart(may.select("a", "b").join(told, ["a", "b"], "left_anti"), comps), sets))
     links = told.where("ok").select("a", "b")
     # Stars told apart by their bounds cannot link, so all pairs with a list's first member are done with.
     others = members.join(heads, "list").where("cid <> head").drop("head")
