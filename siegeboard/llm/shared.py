@@ -33,7 +33,18 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = [path]
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables whose last reader has run; other DataFrames are left alone."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in df.__dict__.pop("stored_at", []):
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def is_training(key: Column, modulus: int, held_out: int) -> Column:
