@@ -38,7 +38,7 @@ REMEMBERED = 300_000
 #: A word with the blank before it, or white space, at places where the tokenizer's own first cut also falls.
 _PARTS = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 #: Characters that some consider white space or that newer Unicode versions may class anew: such texts are encoded whole.
-_RARE = re.compile("[^\t-\r -~¡-ɏ‐-‧€]")
+RARE = "[^\t-\r -~¡-ɏ‐-‧€]"
 
 
 class Encoder:
@@ -46,12 +46,15 @@ class Encoder:
 
     The rank of a merge in such a file is the id it makes, which is checked on
     loading. Ranks then give the same ids through the faster ``tiktoken``. Texts
-    with rare characters go whole through ``tokenizers`` itself.
+    with rare characters go whole through ``tokenizers`` itself, and so do texts with
+    the string of a special token, which is that token unless ``special_text`` makes it plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_text: bool = False):
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = special_text
+        special = [] if special_text else [re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([RARE, *special]))
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -62,11 +65,22 @@ class Encoder:
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token) and not token.startswith("<|")}
         self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = {i: token for token, i in ranks.items()}
         self.known: dict[str, bytes] = {}
 
+    def token_bytes(self, ids: list[int]) -> list[bytes]:
+        """The bytes that ids of plain tokens stand for."""
+        return [self.bytes[i] for i in ids]
+
+    def whole_text(self, text: str) -> list[int]:
+        """Ids of a text that is not likely to share words with others."""
+        if self.whole.search(text):
+            return self.full.encode(text, add_special_tokens=False).ids
+        return self.quick.encode_ordinary(text)
+
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if _RARE.search(text):
+        if self.whole.search(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         parts = _PARTS.findall(text)
         known = self.known

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_token_alignment
 from .chunks import op3_chunk_dedup
 from .fingerprint import op7_multiset_fingerprint
 from .isolation import op12_isolation_rules
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_impact_topk": op8_impact_topk,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_token_alignment": op11_token_alignment,
     "op12_isolation_rules": op12_isolation_rules,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
