@@ -130,7 +130,7 @@ class Forest:
                 f = feature[at]
                 at = np.where(f >= 0, 2 * at + 1 + (x[rows, np.maximum(f, 0)] >= cut[at]), at)
             total += path[at]
-        return np.exp2(-total / len(self.feature) / float(mean_path(np.array(self.sample))))
+        return np.exp2(-total / len(self.feature) / (float(mean_path(np.array(self.sample))) or 1.0))
 
 
 def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
