@@ -12,7 +12,7 @@ from ..operators.dominance import ExtendedGroups, extend_results, merged_replays
 from ..operators.ranking import average_ranks
 from ..operators.report import display, explain_rating, group_link
 from ..operators.tiers import tiered, tiered_sample
-from ..session import materialize
+from ..session import materialize, store
 from . import viewsql as vs
 from .matchview import VIEW_COLUMNS, VIEW_ROLES, match_view, table
 from .registry import query
@@ -49,7 +49,7 @@ def sizes() -> list:
 
 
 def extended(spark: SparkSession, sf: str) -> tuple[ExtendedGroups, DataFrame]:
-    games = materialize(match_view(spark, sf))
+    games = store(match_view(spark, sf).repartition("id"))
     return extend_results(games, VIEW_ROLES, VIEW_COLUMNS, BY), games
 
 

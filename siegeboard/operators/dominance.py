@@ -4,14 +4,14 @@ A win on settings that are at least as hard counts for a group too, and so does
 a loss on settings that are at most as hard. All matches of a group share
 their settings, so the comparison runs between groups, not between matches.
 
-Plan: groups with equal map and equal-role settings share a ``bucket``. Up to
-two setting columns (the pivots) are cut into a few ordered levels. A source
-is copied to those level cells of its bucket which can hold targets for it, and to
-the blocks a cell is cut into when it holds many groups. That makes
-the range comparison an equi-join on (bucket, cell, block) with the exact
-comparison as residual, so a bucket with a third of all groups is spread over many tasks
-and impossible cells are never visited. The levels only steer the work;
-any choice gives the same rows.
+Plan: groups with equal map and equal-role settings share a ``bucket``. A bucket's groups lie
+in blocks of bounded size: up to two setting columns (the pivots) are cut into a few ordered
+levels, small neighbouring level cells make one block and a large cell makes several.
+Sources and targets are both held in blocks. Of every block the lowest and highest value of each
+compared setting are known, so pairs of blocks that cannot match are dropped before any
+group moves. What is left is an equi-join on the pair of blocks with the exact comparison
+as residual: a bucket with a third of all groups becomes many small tasks. Levels and blocks
+only steer the work; any choice gives the same rows. The pairs are written once, by outcome.
 """
 
 from __future__ import annotations
@@ -22,17 +22,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.keys import col, fingerprint
 from ..functions.ordinals import ordinal
-from ..plans.joins import broadcast_if_small, join_skewed
+from ..plans.joins import join_skewed
 from ..roles import MatchColumns, SettingRoles
-from ..session import materialize
+from ..session import store
 from .groups import difficulty, group_table, member_words, with_group_key
 
 LEVELS = 8
-BLOCK_GROUPS = 2048
-CHUNK_WORDS = 1024
+BLOCK_GROUPS = 256
 PAIRS_PER_TASK = 1 << 22
 MAX_TASKS = 32_000
 
@@ -50,30 +50,22 @@ class Pivot:
         steps = [F.when(value >= F.lit(s), 1).otherwise(0) for s in self.splits]
         return sum(steps[1:], steps[0])
 
-    def reachable(self, easier: bool) -> Column:
-        """Levels that can hold targets for a source at this level."""
-        level = F.col(f"level_{self.name}")
-        if easier == self.rises:
-            return F.sequence(F.lit(0), level)
-        return F.sequence(level, F.lit(len(self.splits)))
-
 
 @dataclass(frozen=True)
 class Comparable:
-    """Groups ready to be compared: ``groups`` is materialized.
+    """Groups ready to be compared: ``groups`` is stored and has the ``block`` of each.
 
     ``axes`` maps a compared setting to the short column that holds its value,
-    text levels turned into their place. ``cells`` tells into how many blocks
-    each level cell of a bucket is cut, ``tasks`` over how many tasks the
-    comparisons are spread.
+    text levels turned into their place. ``meetings`` are the pairs of blocks
+    (``s_block``, ``t_block``) of which some groups may match, by outcome (``easier``), ``tasks`` over how many tasks
+    the comparisons are spread.
     """
 
     groups: DataFrame
-    cells: DataFrame
+    meetings: DataFrame
     roles: SettingRoles
     axes: dict[str, str]
     gates: dict[str, str]
-    pivots: tuple[Pivot, ...]
     tasks: int
 
 
@@ -149,31 +141,97 @@ def comparable_groups(
             for g in roles.gates
         ],
     )
-    stored = materialize(ready)
-    chosen = _choose_pivots(stored, axes, roles, pivots)
+    placed = store(ready)
+    chosen = _choose_pivots(placed, axes, roles, pivots)
+    cell = [f"level_{p.name}" for p in chosen]
     for pivot in chosen:
-        stored = stored.withColumn(f"level_{pivot.name}", F.coalesce(pivot.level(), F.lit(0)))
-    cells = materialize(
-        stored.where(F.col("bucket").isNotNull())
-        .groupBy("bucket", *[f"level_{p.name}" for p in chosen])
-        .agg(F.count(F.lit(1)).alias("held"), F.ceil(F.count(F.lit(1)) / block_groups).cast("int").alias("blocks"))
+        placed = placed.withColumn(f"level_{pivot.name}", F.coalesce(pivot.level(), F.lit(0)))
+    blocked = store(_in_blocks(placed, cell, block_groups))
+    meetings = store(_meetings(blocked, roles, axes, gates))
+    compared = meetings.agg(F.sum(F.col("n_sources").cast("double") * F.col("n_targets"))).first()[0] or 0.0
+    return Comparable(blocked, meetings, roles, axes, gates, _comparison_tasks(groups.sparkSession, compared))
+
+
+def _in_blocks(groups: DataFrame, cell: Sequence[str], block_groups: int) -> DataFrame:
+    """Add ``block``: neighbouring small cells of a bucket together, a large cell in several by hash.
+
+    Only counts of cells, a few dozen a bucket, are put in order.
+    """
+    place = [F.col(c) for c in cell] or [F.lit(0)]
+    cells = groups.where(F.col("bucket").isNotNull()).groupBy("bucket", *cell).agg(F.count(F.lit(1)).alias("held"))
+    before = Window.partitionBy("bucket").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    large = F.col("held") > block_groups
+    small_before = F.coalesce(F.sum(F.when(~large, F.col("held"))).over(before), F.lit(0))
+    numbered = cells.select(
+        F.col("bucket").alias("_bucket"),
+        *[F.col(c).alias(f"_{c}") for c in cell],
+        F.when(large, F.ceil(F.col("held") / block_groups)).otherwise(1).alias("_parts"),
+        F.when(large, F.concat(F.lit("cell "), F.concat_ws(" ", *cell)))
+        .otherwise(F.concat(F.lit("run "), F.floor(small_before / block_groups).cast("string")))
+        .alias("_name"),
+    )
+    same = F.col("bucket") == F.col("_bucket")
+    for c in cell:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    part = F.pmod(F.xxhash64("gid"), F.col("_parts"))
+    joined = groups.join(numbered, same, "left")
+    return joined.withColumn("block", F.when(F.col("_name").isNotNull(), F.xxhash64("bucket", "_name", part))).drop(
+        "_bucket", "_parts", "_name", *[f"_{c}" for c in cell]
     )
-    tasks = _comparison_tasks(cells)
-    return Comparable(stored, broadcast_if_small(cells.drop("held")), roles, axes, gates, chosen, tasks)
 
 
-def _comparison_tasks(cells: DataFrame) -> int:
-    """Tasks for the comparisons of a bucket's groups with each other.
+def _meetings(groups: DataFrame, roles: SettingRoles, axes: dict[str, str], gates: dict[str, str]) -> DataFrame:
+    """Pairs of blocks of one bucket that may hold a pair of groups, with the number of groups on either side.
+
+    A pair is out if for some compared setting no value of the one block can suit any of the other. An
+    optional setting that both blocks leave open, or a gate that is open for some source, leaves them in.
+    """
+    ends = [
+        e
+        for a in axes.values()
+        for e in (F.min(a).alias(f"lo_{a}"), F.max(a).alias(f"hi_{a}"), F.bool_or(F.col(a).isNull()).alias(f"un_{a}"))
+    ]
+    held = groups.where(F.col("block").isNotNull())
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        opened = [F.bool_or(g).alias(g) for g in gates.values()]
+        found = df.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"), *ends, *opened)
+        return found.select("bucket", *[F.col(c).alias(f"{mark}_{c}") for c in found.columns if c != "bucket"])
+
+    targets = side(held, "t")
+
+    def met(easier: bool) -> DataFrame:
+        counted = F.col("n_wins") if easier else F.col("n_losses")
+        possible = F.lit(True)
+        for name, a in axes.items():
+            if name in roles.higher or name in roles.lower:
+                down = easier == (name in roles.higher)
+                fits = F.col(f"t_lo_{a}") <= F.col(f"s_hi_{a}") if down else F.col(f"t_hi_{a}") >= F.col(f"s_lo_{a}")
+            else:
+                fits = (F.col(f"t_lo_{a}") <= F.col(f"s_hi_{a}")) & (F.col(f"t_hi_{a}") >= F.col(f"s_lo_{a}"))
+            fits = F.coalesce(fits, F.lit(False))
+            if name in roles.optional:
+                fits = fits | (F.col(f"s_un_{a}") & F.col(f"t_un_{a}"))
+            for gate in roles.gates_of(name):
+                fits = fits | F.col(f"s_{gates[gate.switch]}")
+            possible = possible & fits
+        pairs = side(held.where(F.col("is_source") & (counted > 0)), "s").join(targets, "bucket").where(possible)
+        return pairs.select(
+            F.lit(easier).alias("easier"), "s_block", "t_block", F.col("s_n").alias("n_sources"), F.col("t_n").alias("n_targets")
+        )
+
+    return met(True).unionByName(met(False))
+
+
+def _comparison_tasks(spark, compared: float) -> int:
+    """Tasks for so many comparisons.
 
     The rows are few bytes but many comparisons, so the number comes from the
     comparisons and is not left to byte sizes.
     """
-    held = cells.groupBy("bucket").agg(F.sum("held").cast("double").alias("n"))
-    pairs = held.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
-    spark = cells.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = 4 * min(partitions, spark.sparkContext.defaultParallelism)
-    return max(spread, min(MAX_TASKS, int(pairs // PAIRS_PER_TASK) + 1))
+    spread = 2 * min(partitions, spark.sparkContext.defaultParallelism)
+    return max(spread, min(MAX_TASKS, int(compared // PAIRS_PER_TASK) + 1))
 
 
 def _comparison(state: Comparable, easier: bool) -> Column:
@@ -196,82 +254,46 @@ def _comparison(state: Comparable, easier: bool) -> Column:
     return condition
 
 
-def match_targets(
-    state: Comparable,
-    easier: bool,
-    payload: DataFrame | None = None,
-    target_columns: Sequence[str] = (),
-    targets: DataFrame | None = None,
-) -> DataFrame:
+def match_targets(state: Comparable, easier: bool) -> DataFrame:
     """Pairs ``(source, gid)`` where the source's result counts for the target.
 
     ``easier`` pairs won groups with targets that are no harder, otherwise lost
-    groups with targets that are no easier. ``payload`` (keyed by ``gid``) rides on
-    the source side, ``target_columns`` on the target side. A group that can be a
-    source is paired with itself too.
+    groups with targets that are no easier. A group that can be a source is paired with itself too.
     """
-    groups = state.groups
-    target_side = groups if targets is None else targets
-    cell = [f"level_{p.name}" for p in state.pivots]
     compared = [*state.axes.values()]
     counted = F.col("n_wins") if easier else F.col("n_losses")
-    sources = groups.where(F.col("is_source") & (counted > 0)).select(
+    meetings = state.meetings.where(F.col("easier") == easier).select("s_block", "t_block")
+    sources = state.groups.where(F.col("is_source") & (counted > 0)).select(
         F.col("gid").alias("source"),
-        "bucket",
-        *cell,
+        F.col("block").alias("s_block"),
         *[F.col(a).alias(f"s_{a}") for a in compared],
         *[F.col(g).alias(f"s_{g}") for g in state.gates.values()],
     )
-    for pivot in state.pivots:
-        sources = sources.withColumn(f"level_{pivot.name}", F.explode(pivot.reachable(easier)))
-    held = target_side.where(F.col("bucket").isNotNull())
-    targets_in_blocks = (
-        held.select("gid", "bucket", *cell, *compared, *[col(c) for c in target_columns])
-        .join(state.cells, ["bucket", *cell])
-        .withColumn("block", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int"))
-        .drop("blocks")
-    )
-    spread = (
-        sources.join(state.cells, ["bucket", *cell])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .drop("blocks")
-    )
-    if payload is not None:
-        carried = payload.withColumnRenamed("gid", "source")
-        spread = spread.join(carried, "source")
-    keys = ["bucket", *cell, "block"]
-    pairs = (
-        spread.repartition(state.tasks, *keys)
-        .join(targets_in_blocks.repartition(state.tasks, *keys), keys)
-        .where(_comparison(state, easier))
-    )
-    extra = [] if payload is None else [c for c in payload.columns if c != "gid"]
-    return pairs.select("source", "gid", *[col(c) for c in [*extra, *target_columns]])
-
-
-def _chunks(words: DataFrame, *bits: str) -> DataFrame:
-    """Words packed into rows of at most ``CHUNK_WORDS``, so that no row grows with a group."""
-    present = F.lit(False)
-    for b in bits:
-        present = present | F.col(b).isNotNull()
-    return (
-        words.where(present)
-        .groupBy("gid", F.floor(F.col("word") / CHUNK_WORDS).alias("chunk"))
-        .agg(F.collect_list(F.struct("word", *bits)).alias("words"))
-        .drop("chunk")
-    )
+    targets = state.groups.where(F.col("block").isNotNull()).select("gid", F.col("block").alias("t_block"), *compared)
+    keys = ["s_block", "t_block"]
+    left = sources.join(meetings, "s_block").repartition(state.tasks, *keys)
+    right = targets.join(meetings, "t_block").repartition(state.tasks, *keys)
+    return left.join(right.hint("shuffle_hash"), keys).where(_comparison(state, easier)).select("source", "gid")
+
+
+def pair_table(state: Comparable) -> DataFrame:
+    """All pairs of both outcomes (``easier``), written once; each outcome is a folder of its own."""
+    both = [match_targets(state, e).select(F.lit(e).alias("easier"), "source", "gid") for e in (True, False)]
+    return store(both[0].unionByName(both[1]), partition_by=("easier",))
 
 
 @dataclass(frozen=True)
 class ExtendedGroups:
-    """Groups with carried results; all three tables are materialized.
+    """Groups with carried results; all tables are stored.
 
+    ``pairs``: the pair table.
     ``words``: gid, word, own_winners, winners, players and carried, the winners
     that come from other groups (bit sets).
     ``sized``: the group table plus #Winners, #Players and Difficulty.
     """
 
     state: Comparable
+    pairs: DataFrame
     own_words: DataFrame
     words: DataFrame
     sized: DataFrame
@@ -289,30 +311,31 @@ def extend_results(
     keyed = with_group_key(matches_df, roles, by)
     state = comparable_groups(group_table(keyed, roles, matches, by), roles, by, pivots, block_groups)
     ids = state.groups.select("group_key", "gid")
-    own = materialize(member_words(keyed, matches).join(ids, "group_key").drop("group_key"))
+    own = store(member_words(keyed, matches).join(ids, "group_key").drop("group_key"))
+    pairs = pair_table(state)
 
     unknown = F.lit(None).cast("bigint")
 
-    def carried(easier: bool, winners: str | None, players: str) -> DataFrame:
-        bits = [players] if winners is None else [winners, players]
-        rows = match_targets(state, easier, _chunks(own, *bits))
-        rows = rows.where(F.col("source") != F.col("gid")).select("gid", F.inline("words"))
-        kept = unknown if winners is None else F.col(winners)
-        return rows.select(
-            "gid", "word", unknown.alias("own_winners"), kept.alias("carried"), F.col(players).alias("players")
+    def given(easier: bool) -> DataFrame:
+        """What the matches of one outcome hand on, under the names of the sets they join."""
+        won = F.col("win_winners") if easier else unknown
+        players = F.col("win_players") if easier else F.col("loss_players")
+        handed = own.where(players.isNotNull()).select(
+            F.col("gid").alias("source"), "word", unknown.alias("own_winners"), won.alias("carried"), players.alias("players")
         )
+        others = pairs.where((F.col("easier") == easier) & (F.col("source") != F.col("gid"))).select("source", "gid")
+        return others.join(handed, "source").drop("source")
 
-    own_rows = own.select(
-        "gid", "word", "own_winners", unknown.alias("carried"), F.col("own_players").alias("players")
-    )
+    own_rows = own.select("gid", "word", "own_winners", unknown.alias("carried"), F.col("own_players").alias("players"))
     united = (
-        own_rows.unionByName(carried(True, "win_winners", "win_players"))
-        .unionByName(carried(False, None, "loss_players"))
+        own_rows.unionByName(given(True))
+        .unionByName(given(False))
         .groupBy("gid", "word")
         .agg(*[F.bit_or(c).alias(c) for c in ("own_winners", "carried", "players")])
     )
-    either = F.coalesce("own_winners", F.lit(0).cast("bigint")).bitwiseOR(F.coalesce("carried", F.lit(0).cast("bigint")))
-    words = materialize(united.withColumn("winners", F.nullif(either, F.lit(0).cast("bigint"))))
+    none = F.lit(0).cast("bigint")
+    either = F.coalesce("own_winners", none).bitwiseOR(F.coalesce("carried", none))
+    words = store(united.withColumn("winners", F.nullif(either, none)))
     sizes = words.groupBy("gid").agg(
         F.coalesce(F.sum(F.bit_count("winners")), F.lit(0)).alias("#Winners"),
         F.coalesce(F.sum(F.bit_count("players")), F.lit(0)).alias("#Players"),
@@ -322,7 +345,12 @@ def extend_results(
         .na.fill(0, ["#Winners", "#Players"])
         .withColumn("Difficulty", difficulty(F.col("#Winners"), F.col("#Players")))
     )
-    return ExtendedGroups(state, own, words, materialize(sized))
+    return ExtendedGroups(state, pairs, own, words, store(sized))
+
+
+def _others(extended: ExtendedGroups, easier: bool) -> DataFrame:
+    """Stored pairs of one outcome without those of a group with itself."""
+    return extended.pairs.where((F.col("easier") == easier) & (F.col("source") != F.col("gid"))).select("source", "gid")
 
 
 def merged_replays(extended: ExtendedGroups, replays: DataFrame) -> DataFrame:
@@ -334,8 +362,7 @@ def merged_replays(extended: ExtendedGroups, replays: DataFrame) -> DataFrame:
     by_group = replays.join(ids, "group_key").select(F.col("gid").alias("source"), "kind", "replay")
 
     def carried(easier: bool, kind: str) -> DataFrame:
-        # Stored, because the hot sources are counted before the join.
-        pairs = materialize(match_targets(extended.state, easier).where(F.col("source") != F.col("gid")))
+        pairs = _others(extended, easier)
         wanted = by_group.where(F.col("kind") == kind)
         return join_skewed(pairs, wanted, ["source"]).select("gid", "kind", "replay")
 
@@ -382,8 +409,6 @@ def ordered_members(
         .withColumn("first_seen", F.when(F.col("at.match") == F.col("top.match"), position(0)).otherwise(position(1)))
         .select("gid", "player", "first_seen")
     )
-    wanted = extended.state.groups if targets is None else targets
-
     def carried(easier: bool) -> DataFrame:
         outcome = ~F.col("ai_win") if easier else F.col("ai_win")
         sources = (
@@ -391,8 +416,10 @@ def ordered_members(
             .groupBy(F.col("gid").alias("source"), "player")
             .agg(F.min(position(1)).alias("first_seen"))
         )
-        pairs = match_targets(extended.state, easier, targets=wanted).where(F.col("source") != F.col("gid"))
-        return join_skewed(materialize(pairs), sources, ["source"]).select("gid", "player", "first_seen")
+        pairs = _others(extended, easier)
+        if targets is not None:
+            pairs = pairs.join(targets.select("gid"), "gid", "left_semi")
+        return join_skewed(pairs, sources, ["source"]).select("gid", "player", "first_seen")
 
     rows = own.unionByName(carried(True))
     if not winners_only:

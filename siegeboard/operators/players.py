@@ -12,8 +12,8 @@ from ..functions.numeric import required_teammates
 from ..functions.wordsets import word_members
 from ..plans.joins import join_lookup, join_skewed
 from ..roles import MatchColumns
-from ..session import materialize
-from .dominance import ExtendedGroups, match_targets
+from ..session import materialize, store
+from .dominance import ExtendedGroups
 from .groups import with_group_key
 from .tiers import with_ends
 from .ranking import (
@@ -72,32 +72,39 @@ def own_wins(extended: ExtendedGroups, by: Sequence[str]) -> DataFrame:
 def losers_sum(extended: ExtendedGroups, by: Sequence[str] = ()) -> DataFrame:
     """Distinct players who played but never won a group that the player won.
 
-    Players with the same set of won groups share one answer, so the union of
-    player sets is made once per distinct set.
+    Players who won the same groups share one answer. Which records are the same is told by a
+    fingerprint that sums up in any order (count, xor and sum of the groups' hashes), so
+    no list of groups is built: one player stands for all of a record, and only that player's wins
+    meet the loser sets, row by row, united word by word.
     """
     labels = [col(b) for b in by]
     never_won = F.col("players").bitwiseAND(F.bitwise_not(F.coalesce("own_winners", F.lit(0).cast("long"))))
     lost = extended.words.select("gid", "word", never_won.alias("bits")).where(F.col("bits") != 0)
-    records = materialize(
-        own_wins(extended, by)
-        .groupBy(*labels, "Player")
-        .agg(F.array_sort(F.collect_set("gid")).alias("won"))
-        .withColumn("record", fingerprint(["won"]))
-    )
-    distinct = records.groupBy("record").agg(F.first("won").alias("won"))
-    reached = join_skewed(distinct.select("record", F.explode("won").alias("gid")), lost, ["gid"])
+    wins = store(own_wins(extended, by))
+    records = store(wins.groupBy(*labels, "Player").agg(*_set_fingerprint("gid")))
+    bearers = records.groupBy(*PRINT).agg(F.min(F.struct(*labels, "Player")).alias("bearer"))
+    held = wins.select(F.struct(*labels, "Player").alias("bearer"), "gid").join(bearers, "bearer").select(*PRINT, "gid")
     sums = (
-        reached.groupBy("record", "word")
+        join_skewed(held, lost, ["gid"])
+        .groupBy(*PRINT, "word")
         .agg(F.bit_or("bits").alias("bits"))
-        .groupBy("record")
+        .groupBy(*PRINT)
         .agg(F.sum(F.bit_count("bits")).cast("long").alias("Difficulty Losers Sum"))
     )
-    return (
-        records.drop("won")
-        .join(sums, "record", "left")
-        .na.fill(0, ["Difficulty Losers Sum"])
-        .drop("record")
-    )
+    return records.join(sums, list(PRINT), "left").na.fill(0, ["Difficulty Losers Sum"]).drop(*PRINT)
+
+
+#: Columns of a set fingerprint.
+PRINT = ("members", "mixed", "summed")
+
+
+def _set_fingerprint(member: str) -> list[Column]:
+    """Aggregates that are equal for equal sets, whatever the order: number, xor and sum of two hashes of the members."""
+    return [
+        F.count(F.lit(1)).alias(PRINT[0]),
+        F.bit_xor(F.xxhash64(member)).alias(PRINT[1]),
+        F.sum(F.xxhash64(F.lit(1), member).cast("decimal(20,0)")).alias(PRINT[2]),
+    ]
 
 
 def setting_index(extended: ExtendedGroups, by: Sequence[str] = ()) -> DataFrame:
@@ -224,7 +231,7 @@ def completions(
         .withColumn("completion", closed_completion(level, F.col("#Winners"), F.col("n_matches")))
         .withColumn("diff_completion", F.col("diff") * F.col("completion"))
     )
-    pairs = match_targets(extended.state, True, target_columns=facts, targets=scored)
+    pairs = extended.pairs.where("easier").select("source", "gid").join(scored.select("gid", *facts), "gid")
     reached = top_k_per(pairs, ["source"], best_first, k).drop("place")
     labels = extended.state.groups.select(F.col("gid").alias("source"), *[col(b) for b in by])
     wins = (

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import store
+
 BROADCAST_ROWS = 200_000
 HOT_ROWS = 2_000_000
 
@@ -28,36 +30,41 @@ def join_skewed(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi-join whose hot left keys are spread over several salts.
+    """Equi-join whose hot keys are spread over several salts, on both sides.
 
-    Keys with more than ``hot_rows`` left rows get ``ceil(rows / hot_rows)``
-    salts; their right rows are copied once per salt. There can be at most
-    ``rows / hot_rows`` such keys, so the table of them stays small; it is
+    A key with more than ``hot_rows`` rows on a side has that side cut into
+    ``ceil(rows / hot_rows)`` parts, and each part meets each part of the other side in a
+    task of its own: a key that is hot on both sides becomes as many tasks as the product of its parts. The right
+    side of a left or semi join stays whole, so that no left row is judged by a part
+    of its partners. There can be at most ``rows / hot_rows`` such keys, so the table of them stays small; it is
     still only broadcast after a count. ``how`` is inner, left or left_semi.
     """
     on = list(on)
-    hot = (
-        left.groupBy(*on)
-        .count()
-        .where(F.col("count") > hot_rows)
-        .select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
-    )
+
+    def hot_keys(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy(*on).count().where(F.col("count") > hot_rows)
+        return counts.select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias(name))
+
+    hot = hot_keys(left, "_cuts_l")
+    if how == "inner":
+        hot = hot.join(hot_keys(right, "_cuts_r"), on, "full")
+    else:
+        hot = hot.withColumn("_cuts_r", F.lit(1))
+    hot = store(hot)
     n_hot = hot.limit(BROADCAST_ROWS + 1).count()
     if n_hot == 0:
         return left.join(right, on, how)
     hot_side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-    others = [c for c in left.columns if c not in on]
-    spread = F.xxhash64(*(others or on))
-    salted_left = left.join(hot_side, on, "left").select(
-        *left.columns,
-        F.pmod(spread, F.coalesce("_salts", F.lit(1))).cast("int").alias("_salt"),
-    )
-    salted_right = (
-        right.join(hot_side, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+
+    def salted(df: DataFrame, own: str, other: str, salt: str, copies: str) -> DataFrame:
+        spread = F.xxhash64(*([c for c in df.columns if c not in on] or on))
+        cuts = [F.coalesce(c, F.lit(1)) for c in (own, other)]
+        placed = df.join(hot_side, on, "left").withColumn(salt, F.pmod(spread, cuts[0]).cast("int"))
+        return placed.withColumn(copies, F.explode(F.sequence(F.lit(0), cuts[1] - 1))).drop("_cuts_l", "_cuts_r")
+
+    salted_left = salted(left, "_cuts_l", "_cuts_r", "_salt_l", "_salt_r")
+    salted_right = salted(right, "_cuts_r", "_cuts_l", "_salt_r", "_salt_l")
+    return salted_left.join(salted_right, [*on, "_salt_l", "_salt_r"], how).drop("_salt_l", "_salt_r")
 
 
 def join_lookup(

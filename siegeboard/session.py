@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "siegeboard", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,3 +57,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once as a table in the shared checkpoint folder and go on from there.
+
+    Like ``materialize``, but later jobs read only the columns and folders they
+    need. The order of rows and the partitioning are not kept.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    kept = [f for f in df.schema.fields if f.name not in partition_by]
+    return df.sparkSession.read.schema(T.StructType([*kept, *[df.schema[c] for c in partition_by]])).parquet(path)

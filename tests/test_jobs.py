@@ -247,6 +247,16 @@ def test_skewed_join_keeps_every_row(spark):
         assert plain == salted
 
 
+def test_key_hot_on_both_sides_is_cut_by_product(spark):
+    left = spark.range(900).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(700).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
+    joined = join_skewed(left, right, ["k"], hot_rows=100)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, left.join(right, ["k"]).collect()))
+    # 600 rows in 6 parts meet 400 in 4: 24 tasks' worth of keys instead of one.
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt_l" in plan and "_salt_r" in plan
+
+
 def test_backup_scan_finds_by_name(spark, tmp_path):
     spark.createDataFrame([("a", 1)], "id string, v int").coalesce(1).write.parquet(str(tmp_path / "x" / "replays.parquet"))
     files = list((tmp_path / "x" / "replays.parquet").glob("part-*.parquet"))

@@ -151,6 +151,35 @@ def test_pivots_do_not_change_rows(spark, case):
     assert a == b
 
 
+def test_one_bucket_is_many_tasks(spark):
+    """All groups in one bucket: both sides lie in small blocks, and no pair of blocks holds much of the work."""
+    rows = random_matches(5, 400, False)
+    for r in rows:
+        r[ROLES.map_column] = "one map"
+        r.update({c: "same" if isinstance(r[c], str) else r[c] for c in ROLES.equal})
+    df = frame(spark, rows)
+    state = extend_results(df, ROLES, COLUMNS, ["ai"], block_groups=8)
+    held = state.state.groups.where("block is not null").groupBy("bucket", "block").count().collect()
+    biggest = max(sum(r["count"] for r in held if r["bucket"] == b) for b in {r["bucket"] for r in held})
+    assert biggest > 40 and max(r["count"] for r in held) <= 24
+    met = state.state.meetings.collect()
+    whole = {e: sum(r["n_sources"] * r["n_targets"] for r in met if r["easier"] == e) for e in (True, False)}
+    assert all(r["n_sources"] * r["n_targets"] <= max(24 * 24, 0.1 * whole[r["easier"]]) for r in met)
+    # Pairs of blocks that are left out hold no pair of groups.
+    blocks = {r["gid"]: r["block"] for r in state.state.groups.collect()}
+    allowed = {(r["easier"], r["s_block"], r["t_block"]) for r in met}
+    pairs = state.pairs.collect()
+    assert len(pairs) == len({(r["easier"], r["source"], r["gid"]) for r in pairs})
+    assert all((r["easier"], blocks[r["source"]], blocks[r["gid"]]) in allowed for r in pairs)
+    lists = loop(rows)
+    got = {key_of(r): (r["#Winners"], r["#Players"]) for r in state.sized.collect()}
+    for key, members in grouped(rows).items():
+        assert got[key] == tuple(len({p for m in members for p in lists[m["id"]][x]}) for x in "wp")
+    few = state.state.meetings.count()
+    every = sum(1 for a in held for b in held if a["bucket"] == b["bucket"])
+    assert few < 2 * every
+
+
 def test_merged_replays_match_the_loop(case):
     rows, df, state = case
     lists = loop(rows)
