@@ -40,7 +40,7 @@ ROUND_PAIRS = 1 << 22
 SEGMENT_KEYS = 1 << 15
 CHUNK = 1 << 16
 #: Tokens of both sides that are aligned at once; a text is never cut.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 17
 #: Distinct pairs a task holds before it hands them on.
 HELD_PAIRS = 1 << 21
 #: Links of a group that are written out one by one; larger groups are counted by their distinct ids.
@@ -49,8 +49,30 @@ GROUP_LINKS = 1 << 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@dataclass(frozen=True)
+class Lengths:
+    """The number of bytes of every id of both sides: all that aligning stored ids needs."""
+
+    a: np.ndarray
+    b: np.ndarray
+
+    @property
+    def kinds(self) -> tuple[type, type]:
+        return tuple(np.uint16 if len(x) <= 1 << 16 else np.uint32 for x in (self.a, self.b))
+
+    @property
+    def width(self) -> int:
+        return max(len(self.a), len(self.b))
+
+
+@lru_cache(maxsize=1)
+def id_texts(width: int) -> list[str]:
+    """All ids as text, with each of the four signs that may follow one."""
+    return [f"{i}{end}" for end in (",", "|", ";", "") for i in range(width)]
+
+
 class Tokens:
-    """Both tokenizers, the bytes of every id, and the texts of ids."""
+    """Both tokenizers and the bytes of every id."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a = Encoder(path_a, special_text=True)
@@ -58,11 +80,7 @@ class Tokens:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         top = max(self.a.bytes) + 1
-        self.length_a = np.array([len(self.a.bytes.get(i, b"")) for i in range(top)])
-        self.length_b = np.array([len(x) for x in self.bytes_b])
-        self.kind_a, self.kind_b = (np.uint16 if n <= 1 << 16 else np.uint32 for n in (top, len(pieces)))
-        self.texts = [f"{i}{end}" for end in (",", "|", ";", "") for i in range(max(top, len(pieces)))]
-        self.width = max(top, len(pieces))
+        self.lengths = Lengths(np.array([len(self.a.bytes.get(i, b"")) for i in range(top)]), np.array([len(x) for x in self.bytes_b]))
 
     def __call__(self, text: str | None) -> tuple[bytes, bytes]:
         """Ids of both sides of a text; none if it is null or empty or a side does not give its bytes back."""
@@ -72,7 +90,8 @@ class Tokens:
         a, b = self.a.whole_text(" " + text), self.b.encode(text)
         if b"".join(self.a.token_bytes(a)) != data or b"".join([self.bytes_b[i] for i in b]) != data:
             return b"", b""
-        return np.array(a, dtype=self.kind_a).tobytes(), np.array(b, dtype=self.kind_b).tobytes()
+        kind_a, kind_b = self.lengths.kinds
+        return np.array(a, dtype=kind_a).tobytes(), np.array(b, dtype=kind_b).tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -135,7 +154,7 @@ class Block:
             docs.append(np.full(len(times[-1]), self.group_doc[g]))
         return np.concatenate(docs), np.concatenate(pairs), np.concatenate(times)
 
-    def texts(self, both: Tokens) -> list[str]:
+    def texts(self, width: int) -> list[str]:
         """``a1,a2|b1;a3|b2`` of every text."""
         end_a = np.append(self.group_a[1:] != self.group_a[:-1], True) if len(self.a) else np.zeros(0, bool)
         end_b = np.append(self.group_b[1:] != self.group_b[:-1], True) if len(self.b) else np.zeros(0, bool)
@@ -143,20 +162,20 @@ class Block:
         if len(last):
             last[np.flatnonzero(np.append(self.group_doc[1:] != self.group_doc[:-1], True))] = True
         codes = np.zeros(len(self.a) + len(self.b), dtype=np.int64)
-        codes[np.arange(len(self.a)) + starts(self.size_b)[self.group_a]] = self.a + both.width * np.where(end_a, 1, 0)
+        codes[np.arange(len(self.a)) + starts(self.size_b)[self.group_a]] = self.a + width * np.where(end_a, 1, 0)
         after = np.cumsum(self.size_a)[self.group_b]
-        codes[np.arange(len(self.b)) + after] = self.b + both.width * np.where(end_b, np.where(last[self.group_b], 3, 2), 0)
+        codes[np.arange(len(self.b)) + after] = self.b + width * np.where(end_b, np.where(last[self.group_b], 3, 2), 0)
         sizes = np.bincount(self.group_doc, weights=self.size_a + self.size_b, minlength=self.docs).astype(np.int64)
         edge = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        parts = [both.texts[c] for c in codes.tolist()]
+        parts = list(map(id_texts(width).__getitem__, codes.tolist()))
         return ["".join(parts[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def aligned(a: list[np.ndarray], b: list[np.ndarray], both: Tokens) -> Block:
+def aligned(a: list[np.ndarray], b: list[np.ndarray], lengths: Lengths) -> Block:
     """Align texts by the ids of both sides; texts without ids take no part."""
     doc = np.repeat(np.arange(len(a)), [len(x) for x in a])
     ids_a, ids_b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b))
-    ends_a, ends_b = np.cumsum(both.length_a[ids_a]), np.cumsum(both.length_b[ids_b])
+    ends_a, ends_b = np.cumsum(lengths.a[ids_a]), np.cumsum(lengths.b[ids_b])
     at_a, at_b = (np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, dtype=bool) for _ in range(2))
     at_a[ends_a], at_b[ends_b] = True, True
     cut_a, cut_b = at_b[ends_a], at_a[ends_b]
@@ -165,16 +184,17 @@ def aligned(a: list[np.ndarray], b: list[np.ndarray], both: Tokens) -> Block:
     return Block(ids_a, ids_b, doc, group_a, group_b, np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups), len(a))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], both: Tokens) -> Iterator[tuple[pa.RecordBatch, Block]]:
+def blocks(batches: Iterator[pa.RecordBatch], lengths: Lengths) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """Slices of rows of ``tokenised`` with their alignment."""
+    kind_a, kind_b = lengths.kinds
     for batch in batches:
-        a = [np.frombuffer(x.as_py(), both.kind_a) for x in batch.column("a")]
-        b = [np.frombuffer(x.as_py(), both.kind_b) for x in batch.column("b")]
+        a = [np.frombuffer(x.as_py(), kind_a) for x in batch.column("a")]
+        b = [np.frombuffer(x.as_py(), kind_b) for x in batch.column("b")]
         lo, held = 0, 0
         for hi in range(1, batch.num_rows + 1):
             held += len(a[hi - 1]) + len(b[hi - 1])
             if held > BLOCK_TOKENS or hi == batch.num_rows:
-                yield batch.slice(lo, hi - lo), aligned(a[lo:hi], b[lo:hi], both)
+                yield batch.slice(lo, hi - lo), aligned(a[lo:hi], b[lo:hi], lengths)
                 lo, held = hi, 0
 
 
@@ -246,12 +266,12 @@ class PairIndex:
         return out
 
 
-def distinct_pairs(tokens: DataFrame, paths: tuple[str, str]) -> DataFrame:
+def distinct_pairs(tokens: DataFrame, lengths: Lengths) -> DataFrame:
     """All linked pairs (``key``: id of A times 2^32 plus id of B), once each."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, dtype=np.int64)
-        for _, block in blocks(batches, tokens_of(*paths)):
+        for _, block in blocks(batches, lengths):
             held = np.union1d(held, block.links()[1])
             if len(held) > HELD_PAIRS:
                 yield record_batch("key bigint", held)
@@ -288,7 +308,7 @@ def load_index(made: DataFrame, segments: int, low: int, high: int) -> PairIndex
     return PairIndex(segments, low, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
 
 
-def count_documents(tokens: DataFrame, index: PairIndex, paths: tuple[str, str]) -> np.ndarray:
+def count_documents(tokens: DataFrame, index: PairIndex, lengths: Lengths) -> np.ndarray:
     """For each slot of an index in how many documents its pair is linked."""
     shared = tokens.sparkSession.sparkContext.broadcast(index)
     schema = "chunk bigint, part bigint, vec binary"
@@ -296,7 +316,7 @@ def count_documents(tokens: DataFrame, index: PairIndex, paths: tuple[str, str])
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         total = np.zeros(len(own), dtype="<i8")
-        for _, block in blocks(batches, tokens_of(*paths)):
+        for _, block in blocks(batches, lengths):
             docs, pairs, _ = block.links()
             slots = own.slots(pairs)
             here = slots >= 0
@@ -320,13 +340,14 @@ def count_documents(tokens: DataFrame, index: PairIndex, paths: tuple[str, str])
 MEASURES = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 
 
-def look_up(tokens: DataFrame, index: PairIndex, counts: np.ndarray, best: np.ndarray, paths: tuple[str, str]) -> DataFrame:
-    """Align again and add what the pairs of an index give to the columns ``n_best`` and ``count_sum``."""
+def look_up(tokens: DataFrame, id_column: str, index: PairIndex, counts: np.ndarray, best: np.ndarray, lengths: Lengths, last: bool) -> DataFrame:
+    """Align again and add what the pairs of an index give to the columns ``n_best`` and ``count_sum``; the ``last`` round turns ids into MEASURES."""
     shared = tokens.sparkSession.sparkContext.broadcast((index, counts, best))
+    names = [c.split()[0] for c in MEASURES.split(", ")]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number, top = shared.value
-        for rows, block in blocks(batches, tokens_of(*paths)):
+        for rows, block in blocks(batches, lengths):
             docs, pairs, times = block.links()
             slots = own.slots(pairs)
             here = slots >= 0
@@ -334,27 +355,17 @@ def look_up(tokens: DataFrame, index: PairIndex, counts: np.ndarray, best: np.nd
             n_best, count_sum = (rows.column(c).to_numpy().copy() for c in ("n_best", "count_sum"))
             np.add.at(n_best, docs, np.where(found == top[pairs[here] >> 32], times, 0))
             np.add.at(count_sum, docs, found * times)
-            for name, values in (("n_best", n_best), ("count_sum", count_sum)):
-                rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values, type=pa.int64()))
-            yield rows
-
-    return tokens.mapInArrow(add, tokens.schema)
-
-
-def described(tokens: DataFrame, id_column: str, paths: tuple[str, str]) -> DataFrame:
-    """Turn ids into MEASURES; the looked-up columns are taken over."""
-    names = [c.split()[0] for c in MEASURES.split(", ")]
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokens_of(*paths)
-        for rows, block in blocks(batches, both):
-            by = block.group_doc
-            sums = [np.bincount(by, weights=w, minlength=block.docs).astype(np.int64) for w in (block.size_a, block.size_b, np.ones(len(by)), block.size_a * block.size_b)]
-            columns = record_batch(MEASURES, *sums, rows.column("n_best"), rows.column("count_sum"), block.texts(both)).columns
+            if not last:
+                sums = record_batch("n_best bigint, count_sum bigint", n_best, count_sum).columns
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in (id_column, "a", "b")), *sums], names=[id_column, "a", "b", "n_best", "count_sum"])
+                continue
+            of, links = block.group_doc, block.size_a * block.size_b
+            sums = [np.bincount(of, weights=w, minlength=block.docs).astype(np.int64) for w in (block.size_a, block.size_b, np.ones(len(of)), links)]
+            columns = record_batch(MEASURES, *sums, n_best, count_sum, block.texts(lengths.width)).columns
             yield pa.RecordBatch.from_arrays([rows.column(id_column), *columns], names=[id_column, *names])
 
-    schema = T.StructType([tokens.schema[id_column], *T._parse_datatype_string(MEASURES).fields])
-    return tokens.mapInArrow(measure, schema)
+    fields = T._parse_datatype_string(MEASURES if last else "a binary, b binary, n_best bigint, count_sum bigint").fields
+    return tokens.mapInArrow(add, T.StructType([tokens.schema[id_column], *fields]))
 
 
 def align_tokenizers(docs: DataFrame, id_column: str, path_a: str, path_b: str, round_pairs: int = ROUND_PAIRS, segment_keys: int = SEGMENT_KEYS) -> DataFrame:
@@ -366,7 +377,8 @@ def align_tokenizers(docs: DataFrame, id_column: str, path_a: str, path_b: str,
     """
     paths = (path_a, path_b)
     tokens = stored(tokenised(docs, id_column, paths))
-    pairs = stored(distinct_pairs(tokens, paths))
+    lengths = tokens_of(*paths).lengths
+    pairs = stored(distinct_pairs(tokens, lengths))
     total = pairs.count()
     segments = max(1, -(-total // segment_keys))
     made = stored(pair_segments(pairs, segments))
@@ -376,7 +388,7 @@ def align_tokenizers(docs: DataFrame, id_column: str, path_a: str, path_b: str,
     kept: list[DataFrame] = []
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         index = load_index(made, segments, low, high)
-        counts = count_documents(tokens, index, paths)
+        counts = count_documents(tokens, index, lengths)
         ids = index.keys >> 32
         if len(ids):
             best = np.concatenate([best, np.zeros(max(0, int(ids.max()) + 1 - len(best)), dtype=np.int64)])
@@ -387,9 +399,9 @@ def align_tokenizers(docs: DataFrame, id_column: str, path_a: str, path_b: str,
     for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if i:
             out = stored(out)
-        out = look_up(out, load_index(made, segments, low, high), _get(kept[i]), best, paths)
+        out = look_up(out, id_column, load_index(made, segments, low, high), _get(kept[i]), best, lengths, i == rounds - 1)
     release(pairs, made, *kept)
-    return described(out, id_column, paths)
+    return out
 
 
 def _put(docs: DataFrame, counts: np.ndarray) -> DataFrame:

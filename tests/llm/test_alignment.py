@@ -88,9 +88,9 @@ def test_query(spark, tmp_path, docs, rows, groups):
 def test_large_groups_are_counted_by_ids(monkeypatch):
     both = alignment.tokens_of(*PATHS)
     texts = [both(t) for t in ("日本語日本語 日本", "plain words here")]
-    a = [np.frombuffer(x, both.kind_a) for x, _ in texts]
-    b = [np.frombuffer(y, both.kind_b) for _, y in texts]
-    block = alignment.aligned(a, b, both)
+    a = [np.frombuffer(x, both.lengths.kinds[0]) for x, _ in texts]
+    b = [np.frombuffer(y, both.lengths.kinds[1]) for _, y in texts]
+    block = alignment.aligned(a, b, both.lengths)
 
     def total():
         out = Counter()
