@@ -13,7 +13,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,12 +51,12 @@ class Encoder:
     """
 
     def __init__(self, path: str, special_text: bool = False):
-        self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = special_text
-        special = [] if special_text else [re.escape(t.content) for t in self.full.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([RARE, *special]))
+        self.path, self.special_text = path, special_text
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            parts = json.load(file)
+        special = [] if special_text else [re.escape(t["content"]) for t in parts["added_tokens"]]
+        self.whole = re.compile("|".join([RARE, *special]))
+        model = parts["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         ids = [model["vocab"][a + b] for a, b in merges]
         if ids != sorted(ids):
@@ -68,6 +68,12 @@ class Encoder:
         self.bytes = {i: token for token, i in ranks.items()}
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def full(self) -> Tokenizer:
+        full = Tokenizer.from_file(self.path)
+        full.encode_special_tokens = self.special_text
+        return full
+
     def token_bytes(self, ids: list[int]) -> list[bytes]:
         """The bytes that ids of plain tokens stand for."""
         return [self.bytes[i] for i in ids]
@@ -169,12 +175,12 @@ def balance(lengths: np.ndarray, sequence: int = SEQUENCE, linear: float = LINEA
 def pack(pieces: DataFrame, id_column: str, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` (gapless from 0 in each sequence) to every piece of up to ``sequence`` tokens.
 
-    Groups are dealt by hash of the whole piece; sequence ids are the group's number
+    Groups are dealt by hash of the whole piece and its place in the table, so that equal pieces are spread; sequence ids are the group's number
     times 2^32 plus the place in the group. A group's padding is below one sequence unless a piece fits nowhere.
     """
     total = pieces.count()
     groups = max(1, -(-total // group_pieces))
-    rows = pieces.withColumn("_group", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)))
+    rows = pieces.withColumn("_group", F.pmod(F.xxhash64(*pieces.columns, F.monotonically_increasing_id()), F.lit(groups)))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
