@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shards import hypergeometric
-from .shared import WORD, stored, table, utf8
+from .shared import WORD, release, stored, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -182,23 +182,21 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Columns are those of ``docs``. Only the document in which a source's quota
     ends is cut, after the words that are still wanted; its ``n_chars`` follows.
+    Rows equal in every column share a key; each of their draws gives one copy.
     """
+    parts = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
     row = docs.select(
         F.struct(*docs.columns).alias("row"),
         "source",
-        "doc_id",
-        F.crc32(utf8(F.col("text"))).alias("crc"),
+        F.xxhash64(F.lit(1), *parts).alias("key"),
+        F.xxhash64(F.lit(2), *parts).alias("key2"),
         word_count(F.col("text")).alias("size"),
     )
-    sized = row.drop("row")
-    plan = stored(mix(stored(sized), ["doc_id", "crc", "size"]).select("doc_id", "crc", "draws").where(F.size("draws") > 0).distinct())
-    taken = (
-        row.drop("source", "size")
-        .withColumnRenamed("doc_id", "_id")
-        .withColumnRenamed("crc", "_crc")
-        .join(plan, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_crc") == F.col("crc")))
-        .select("row", F.explode("draws").alias("draw"))
-    )
+    sized = stored(row.drop("row"))
+    plan = stored(mix(sized, ["key", "key2"]).select("key", "key2", F.explode("draws").alias("draw")))
+    release(sized)
+    # Equal rows are one text here, so that a draw meets it once.
+    taken = row.drop("source", "size").dropDuplicates(["key", "key2"]).join(plan, ["key", "key2"])
     text, wanted = F.col("row.text"), F.col("draw.words")
     cut = F.when(wanted < word_count(text), first_words(text, wanted)).otherwise(text)
     # Shards go out in pieces of their shuffled order, so that no shard is one task.
