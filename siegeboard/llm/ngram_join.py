@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap, byte_slices, flagged, record_batch, stored, table
+from .shared import bitmap, byte_slices, flagged, record_batch, release, stored, table
 
 WORDS = 5
 #: 100 * intersection >= 80 * union is 9 * intersection >= 4 * (sum of sizes).
@@ -216,16 +216,19 @@ def connected(links: DataFrame) -> DataFrame:
         moves.append(move)
         at_a = move.select(F.col("node").alias("a"), F.col("to").alias("x"))
         at_b = move.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        links = stored(
+        before, links = links, stored(
             links.join(at_a, "a").join(at_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
+        release(before)
     if not moves:
         return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     comp = moves[0].select("node", F.col("to").alias("comp"))
     for move in moves[1:]:
         step = move.select(F.col("node").alias("comp"), "to")
         comp = comp.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return stored(comp)
+    out = stored(comp)
+    release(links, *moves)
+    return out
 
 
 def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -277,6 +280,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(_close(pairs.distinct(), sets, "members").mapInArrow(_linked, "a bigint, b bigint, ok boolean").distinct())
 
 
+def _emitter(ddl: str, made, flags):
+    """Rows ``made`` of the shingle sets of those texts whose key ``k`` a shared bitmap holds."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(flagged(flags.value, batch.column("k").to_numpy())))
+            rows, size = [], 0
+            for _, s in shingle_sets(some.column("text")):
+                rows.append(made(s))
+                size += len(s)
+                if size > 500_000:
+                    yield record_batch(ddl, *zip(*rows, strict=True))
+                    rows, size = [], 0
+            if rows:
+                yield record_batch(ddl, *zip(*rows, strict=True))
+
+    return emit
+
+
+PARITIES = "cid bigint, n bigint, bits binary"
+WHOLE = "cid bigint, n bigint, members binary"
+
+
 def meet(n: list[int], cid: list[int], comp: list[int], block: list[int] | None, bits: list[int], tried: set[tuple[int, int]], every: bool) -> list[tuple[int, int]]:
     """Untried pairs between the components of one list block whose parities leave a link possible.
 
@@ -405,27 +431,22 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
         .select(F.col("key").alias("list"), "cid", "m")
     )
     members = stored(members)
-    # Sets and parities of one document for each class in a list.
-    wanted = members.select("cid").distinct()
-    bearers = classes.join(wanted, "cid").groupBy("cid").agg(F.min("doc").alias("doc")).select(F.xxhash64("doc").alias("k"))
-    bearer_flags = context.broadcast(bitmap(bearers, "k", FILTER_BITS))
-    made = "cid bigint, n bigint, bits binary, members binary"
+    release(shared_lists)
+    # One document for each class in a list stands for it. Its parities are kept, its whole set only while pairs with it are compared.
+    bearers = stored(
+        classes.join(members.select("cid").distinct(), "cid").groupBy("cid").agg(F.xxhash64(F.min("doc")).alias("k"))
+    )
+    keyed = docs.select(F.xxhash64(F.col(id_column)).alias("k"), "text")
 
-    def emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = batch.filter(pa.array(flagged(bearer_flags.value, batch.column("k").to_numpy())))
-            rows, size = [], 0
-            for _, s in shingle_sets(some.column("text")):
-                rows.append((set_id(s), len(s), parity_bits(s), s.tobytes()))
-                size += len(s)
-                if size > 500_000:
-                    yield record_batch(made, *zip(*rows, strict=True))
-                    rows, size = [], 0
-            if rows:
-                yield record_batch(made, *zip(*rows, strict=True))
+    def texts_of(cids: DataFrame, ddl: str, made) -> DataFrame:
+        flags = context.broadcast(bitmap(bearers.join(cids, "cid", "left_semi").select("k"), "k", FILTER_BITS))
+        return stored(keyed.mapInArrow(_emitter(ddl, made, flags), ddl))
 
-    keyed = docs.select(F.xxhash64(F.col(id_column)).alias("k"), "text")
-    sets = stored(keyed.mapInArrow(emit_sets, made))
+    def whole_sets(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        return texts_of(ends, WHOLE, lambda s: (set_id(s), len(s), s.tobytes()))
+
+    sets = texts_of(bearers.select("cid"), PARITIES, lambda s: (set_id(s), len(s), parity_bits(s)))
     # First every list's members with its first one.
     heads = members.groupBy("list").agg(F.min("cid").alias("head"))
     stars = members.join(heads, "list").where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
@@ -433,9 +454,13 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
     may = stored(_close(stars, sets, "bits").where(fit).mapInArrow(_may_link, MAY))
     # One pair for each member, the likeliest; then the other pairs whose ends are still apart.
     likeliest = may.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")).select("a", "b")
-    told = verified(likeliest, sets)
+    whole = whole_sets(may)
+    told = verified(likeliest, whole)
     comps = connected(told.where("ok").select("a", "b"))
-    told = told.unionByName(verified(apart(may.select("a", "b").join(told, ["a", "b"], "left_anti"), comps), sets))
+    rest = stored(apart(may.select("a", "b").join(told, ["a", "b"], "left_anti"), comps))
+    release(comps)
+    told = told.unionByName(verified(rest, whole))
+    release(whole, rest, may)
     links = told.where("ok").select("a", "b")
     # Stars told apart by their bounds cannot link, so all pairs with a list's first member are done with.
     others = members.join(heads, "list").where("cid <> head").drop("head")
@@ -448,6 +473,7 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
         live = stored(live.join(open_, "list"))
         size = live.count()
         if not size:
+            release(live, comps)
             break
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         dealt = (
@@ -468,13 +494,18 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
             )
             rows = rows.unionByName(done.select(bucket, *names))
         found = stored(rows.groupBy("bucket").applyInPandas(_meetings(turn == ROUNDS), FOUND))
+        release(live, comps)
         if found.isEmpty():
             break
-        told = verified(found.select("a", "b").join(failed_stars, ["a", "b"], "left_anti"), sets)
+        asked = stored(found.select("a", "b").join(failed_stars, ["a", "b"], "left_anti").distinct())
+        whole = whole_sets(asked)
+        told = verified(asked, whole)
         good = told.where("ok").select("a", "b")
         links = links.unionByName(good)
         failed = found.join(good, ["a", "b"], "left_anti").select(*[x.split()[0] for x in FOUND.split(", ")])
-        tried = stored(failed if tried is None else tried.unionByName(failed))
+        before, tried = tried, stored(failed if tried is None else tried.unionByName(failed))
+        release(asked, whole, found, *([] if before is None else [before]))
+    release(members, sets, bearers, failed_stars, *([] if tried is None else [tried]))
     return links
 
 
