@@ -431,6 +431,9 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
         .select(F.col("key").alias("list"), "cid", "m")
     )
     members = stored(members)
+    lists_flags.destroy()
+    shared.destroy()
+    del kept, often, frequent, rank
     release(shared_lists)
     # One document for each class in a list stands for it. Its parities are kept, its whole set only while pairs with it are compared.
     bearers = stored(
@@ -440,7 +443,9 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
 
     def texts_of(cids: DataFrame, ddl: str, made) -> DataFrame:
         flags = context.broadcast(bitmap(bearers.join(cids, "cid", "left_semi").select("k"), "k", FILTER_BITS))
-        return stored(keyed.mapInArrow(_emitter(ddl, made, flags), ddl))
+        out = stored(keyed.mapInArrow(_emitter(ddl, made, flags), ddl))
+        flags.destroy()
+        return out
 
     def whole_sets(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
