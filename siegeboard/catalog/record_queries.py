@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import col
 from ..operators import clean as cl
+from ..operators import encode as en
 from ..operators import filters as fi
 from ..operators import groups as gr
 from ..operators import importance as im
@@ -27,7 +28,7 @@ from ..sources import tables as ta
 from ..streaming.ingest import ingest_rows, stored_rows
 from ..streaming.lobby import score_lobby_stream
 from . import viewsql as vs
-from .match_queries import BY, extended, ratings, settings, sizes, SETTINGS_SQL, SIZES_SQL
+from .match_queries import BY, LABEL_SQL, extended, label, ratings, settings, sizes, SETTINGS_SQL, SIZES_SQL
 from .matchview import VIEW_COLUMNS, VIEW_ROLES, match_view, nested_view, table
 from .registry import query
 
@@ -452,7 +453,7 @@ def ingest_incremental(spark, sf):
     target = f"{scratch(spark)}/events"
     rows = event_stream(spark, sf).select("event_id", "user_id", "event_type")
     for _ in range(2):
-        ingest_rows(rows, target, scratch(spark), "event_id").awaitTermination()
+        ingest_rows(rows, target, scratch(spark), "event_id", buckets=16).awaitTermination()
     return stored_rows(spark, target, rows.schema)
 
 
@@ -462,16 +463,24 @@ def ingest_incremental(spark, sf):
        where before is null or before <> event_type""",
 )
 def lobby_changes(spark, sf):
-    """Users as lobbies and event types as settings: only changes are scored."""
+    """Users as lobbies and event types as settings: only changes are scored.
+
+    The events arrive in three batches by time; each batch brings those of the batch before it once more, late.
+    """
     root = scratch(spark)
-    rows = event_stream(spark, sf).select(
+    events = table(spark, sf, "events").select(
         F.col("user_id").alias("lobby"), F.struct("ts", "event_id").alias("at"), "event_id", "event_type"
     )
-    job = score_lobby_stream(
-        rows, ["event_type"], lambda changed: changed.select("lobby", "event_id", "event_type"),
-        f"{root}/scores", f"{root}/last", f"{root}/state",
-    )
-    job.awaitTermination()
+    first, second = events.agg(F.percentile_approx(F.unix_micros(F.col("at.ts").cast("timestamp")), [0.3, 0.6])).first()[0]
+    at = F.unix_micros(F.col("at.ts").cast("timestamp"))
+    part = F.when(at <= first, 0).when(at <= second, 1).otherwise(2)
+    for n in range(3):
+        events.where(part.isin(n - 1, n)).write.mode("append").parquet(f"{root}/landing")
+        rows = spark.readStream.schema(events.schema).parquet(f"{root}/landing")
+        score_lobby_stream(
+            rows, ["event_type"], lambda changed: changed.select("lobby", "event_id", "event_type"),
+            f"{root}/scores", f"{root}/last", f"{root}/state", buckets=16,
+        ).awaitTermination()
     return spark.read.parquet(f"{root}/scores").select(F.col("lobby").alias("user_id"), "event_id", "event_type")
 
 
@@ -496,14 +505,54 @@ def score_lobby(spark, sf):
     return scored.select("lobby", "place", F.round("Difficulty", 4).alias("difficulty"), F.round("distance", 6).alias("distance"))
 
 
-@query("ml_pipeline")
+FILLED = [*NUMBERS, "nuttyb_hp"]
+SCALED_SQL = "stats as (" + " union all ".join(
+    f"""select '{c}' c, m, (select stddev_pop(coalesce({c}, m)) from k) s from (select avg({c}) m from k)""" for c in FILLED
+) + "), cells as (" + " union all ".join(
+    f"""select {LABEL_SQL} group_label, c, (coalesce({c}::double, m) - m) / case when s = 0 then 1 else s end v from k join stats on c = '{c}'"""
+    for c in FILLED
+) + ")"
+
+
+@query(
+    "ml_pipeline",
+    vs.GROUPS
+    + f""", {SCALED_SQL}
+    select group_label, c "column", cast(-1 as bigint) "index", round(v, 4) + 0.0 "value" from cells union all """
+    + " union all ".join(
+        f"""select {LABEL_SQL}, '{t}_' || level, cast(i as bigint), 1.0 from
+          (select k.*, coalesce({t}, (select {t} from k where {t} is not null group by 1 order by count(*) desc, 1 limit 1)) level from k) k
+          join (select {t} level, row_number() over (order by {t}) - 1 i from (select distinct {t} from k where {t} is not null)) using (level)"""
+        for t in TEXTS
+    ),
+)
 def ml_pipeline(spark, sf):
-    """Feature vectors of every setting group."""
-    from pyspark.ml.functions import vector_to_array
+    """Every setting group as sparse cells: filled and scaled numbers, and the ones of its texts."""
+    groups = plain_groups(spark, sf).withColumn("group_label", label())
+    numbers = en.number_cells(groups, "group_label", en.fit_scales(groups, FILLED))
+    texts = en.level_cells(groups, "group_label", TEXTS, en.levels(groups, TEXTS))
+    return numbers.select("group_label", "column", F.lit(-1).cast("bigint").alias("index"), (F.round("value", 4) + 0.0).alias("value")).unionByName(
+        texts.select("group_label", F.concat_ws("_", "column", "level").alias("column"), F.col("index").cast("bigint").alias("index"), "value")
+    )
 
-    groups = plain_groups(spark, sf)
-    ready = im.SettingFeatures(NUMBERS, TEXTS).fit(groups).transform(groups)
-    return ready.select(F.col("gid"), F.size(vector_to_array("features")).alias("n_features"))
+
+@query(
+    "principal_components",
+    vs.GROUPS
+    + f""", {SCALED_SQL}, wide as (
+      select group_label, {", ".join(f"max(v) filter (c = '{c}') {c}" for c in FILLED)} from cells group by 1)
+    select group_label, round({" + ".join(f"{c} * {c}" for c in FILLED)}, 4) squares,
+      (select round({" + ".join(f"var_pop({c})" for c in FILLED)}, 4) from wide) trace from wide""",
+)
+def principal_components(spark, sf):
+    """Squared length of every group in all principal components, and the sum of their variances: rotation keeps both."""
+    groups = plain_groups(spark, sf).withColumn("group_label", label())
+    scales = en.fit_scales(groups, FILLED)
+    variance, loadings = en.components(groups, scales)
+    turned = en.rotated_cells(groups, "group_label", scales, loadings)
+    return turned.groupBy("group_label").agg(F.round(F.sum(F.col("value") * F.col("value")), 4).alias("squares")).withColumn(
+        "trace", F.round(F.lit(float(variance.sum())), 4)
+    )
 
 
 @query("rf_importance")

@@ -16,7 +16,8 @@ from ..operators import profile as pr
 from ..operators.clean import cast_matches as cast_settings
 from ..operators.clean import parse_start_time
 from ..operators.filters import known_sources, lobby_players
-from ..operators.knn import approximate_knn, knn
+from ..operators.cells import build_cells, search_cells
+from ..operators.knn import knn
 from ..operators.ranking import games_label, top_k_per, with_row_index
 from ..operators.tiers import first_rows
 from .matchview import table
@@ -470,15 +471,15 @@ def label_centers(vectors: DataFrame) -> DataFrame:
     )
 
 
-@query(
-    "knn_l2_exact",
-    """with cells as (select label, unnest(embedding)::double v, generate_subscripts(embedding, 1) i from embeddings),
-       centers as (select label, list(m order by i) q from (select label, i, avg(v) m from cells group by 1, 2) group by 1),
-       gaps as (select c.label query_id, vec_id base_id, list_sum(list_transform(list_zip(c.q, e.embedding),
-           lambda x: (x[1] - x[2]::double) * (x[1] - x[2]::double))) distance from centers c cross join embeddings e)
-       select cast(query_id as bigint) query_id, cast(place as bigint) place, base_id, round(distance, 4) distance from (
-         select *, row_number() over (partition by query_id order by distance, base_id) place from gaps) where place <= 8""",
-)
+NEAREST_SQL = """with cells as (select label, unnest(embedding)::double v, generate_subscripts(embedding, 1) i from embeddings),
+   centers as (select label, list(m order by i) q from (select label, i, avg(v) m from cells group by 1, 2) group by 1),
+   gaps as (select c.label query_id, vec_id base_id, list_sum(list_transform(list_zip(c.q, e.embedding),
+       lambda x: (x[1] - x[2]::double) * (x[1] - x[2]::double))) distance from centers c cross join embeddings e)
+   select cast(query_id as bigint) query_id, cast(place as bigint) place, base_id, round(distance, 4) distance from (
+     select *, row_number() over (partition by query_id order by distance, base_id) place from gaps) where place <= 8"""
+
+
+@query("knn_l2_exact", NEAREST_SQL)
 def knn_l2_exact(spark, sf):
     """Eight nearest vectors to the mean of every label."""
     vectors = table(spark, sf, "embeddings")
@@ -489,12 +490,15 @@ def knn_l2_exact(spark, sf):
     )
 
 
-@query("lsh_knn")
+@query("lsh_knn", NEAREST_SQL)
 def lsh_knn(spark, sf):
-    """Approximate form of ``knn_l2_exact``."""
+    """``knn_l2_exact`` through an index of cells, which reads only cells that can hold a nearest vector."""
     vectors = table(spark, sf, "embeddings")
-    base = vectors.select(F.col("vec_id").alias("base_id"), F.col("embedding").alias("vector"))
-    return approximate_knn(label_centers(vectors), base, threshold=5.0, k=8)
+    index = build_cells(vectors.select(F.col("vec_id").alias("base_id"), F.col("embedding").alias("vector")))
+    near = search_cells(index, label_centers(vectors), 8)
+    return near.select(
+        "query_id", F.col("place").cast("bigint").alias("place"), "base_id", F.round("distance", 4).alias("distance")
+    )
 
 
 LINE_FEATURES = ["l_linenumber", "l_quantity", "l_extendedprice", "l_tax"]

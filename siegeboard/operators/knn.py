@@ -110,23 +110,3 @@ def _block_candidates(queries: DataFrame, base: DataFrame, k: int, query_rows: i
 
     keys = ["q_block", "b_block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, CANDIDATES)
-
-
-def approximate_knn(queries: DataFrame, base: DataFrame, threshold: float, k: int = 8, width: float = 2.0, tables: int = 4) -> DataFrame:
-    """Near rows found by random-projection hashing; may miss some. Distances are squared."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    b = base.select("base_id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    q = queries.select("query_id", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7
-    ).fit(b)
-    near = model.approxSimilarityJoin(q, b, threshold, "root")
-    found = near.select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.base_id").alias("base_id"),
-        (F.col("root") * F.col("root")).alias("distance"),
-    )
-    order = [F.col("distance").asc(), F.col("base_id").asc()]
-    return top_k_per(found, ["query_id"], order, k).select("query_id", "place", "base_id", "distance")

@@ -11,21 +11,23 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.keys import col, fingerprint
 from ..operators.ranking import previous_value
 from ..plans.joins import join_skewed
-from .ingest import batch_path, stored_rows
+from .ingest import COMPACT_EVERY, batch_path
+from .keyed import KeyedTable
 
 
 def changed_lobbies(batch: DataFrame, last: DataFrame, settings: Sequence[str], lobby: str = "lobby", at: str = "at") -> DataFrame:
     """Rows whose settings differ from the lobby's row before.
 
-    ``last`` holds ``lobby, at, state`` of earlier batches. Rows that repeat the
-    previous settings are dropped.
+    ``last`` holds ``lobby, at, state`` of earlier batches, of which the newest counts. Rows
+    that repeat the previous settings are dropped, and so are late rows: those not after
+    the newest row of their lobby in an earlier batch.
     """
     marked = batch.withColumn("state", fingerprint(settings))
-    seen = previous_value(marked, [lobby], [col(at), F.col("state")], F.col("state"), "_seen")
-    known = last.groupBy(col(lobby)).agg(F.max_by("state", col(at)).alias("last_state"))
+    known = last.groupBy(col(lobby)).agg(F.max(col(at)).alias("_known_at"), F.max_by("state", F.struct(col(at), F.col("state"))).alias("last_state"))
+    on_time = join_skewed(marked, known, [lobby], "left").where(F.col("_known_at").isNull() | (col(at) > F.col("_known_at")))
+    seen = previous_value(on_time.drop("_known_at"), [lobby], [col(at), F.col("state")], F.col("state"), "_seen")
     return (
-        join_skewed(seen, known, [lobby], "left")
-        .withColumn("_before", F.coalesce("_seen", "last_state"))
+        seen.withColumn("_before", F.coalesce("_seen", "last_state"))
         .where(F.col("_before").isNull() | (F.col("_before") != F.col("state")))
         .drop("_before", "_seen", "last_state")
     )
@@ -40,23 +42,24 @@ def score_lobby_stream(
     checkpoint: str,
     lobby: str = "lobby",
     at: str = "at",
+    buckets: int = 64,
 ) -> StreamingQuery:
     """Score changed lobbies with ``score`` and store the result per batch.
 
-    The last settings of each lobby are a table with one partition per batch;
-    a repeated batch reads only what came before it.
+    The newest settings of each lobby are one row of a keyed table; a batch reads
+    the buckets its lobbies fall into, and a repeated batch only what came before it.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        empty = batch.select(col(lobby), col(at), fingerprint(settings).alias("state")).schema
-        last = stored_rows(spark, state_table, empty, batch_id)
+        rows = batch.select(col(lobby), col(at), fingerprint(settings).alias("state"))
+        kept = KeyedTable(state_table, rows.schema, [lobby], [at], buckets)
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            kept.compact(spark, batch_id)
+        last = kept.read(spark, batch_id, kept.touched(batch))
         changed = changed_lobbies(batch, last, settings, lobby, at)
-        newest = batch.withColumn("state", fingerprint(settings)).groupBy(col(lobby)).agg(
-            F.max(col(at)).alias(at), F.max_by("state", F.struct(col(at), F.col("state"))).alias("state")
-        )
-        newest.select(lobby, at, "state").write.mode("overwrite").parquet(batch_path(spark, state_table, batch_id))
         score(changed).write.mode("overwrite").parquet(batch_path(spark, table, batch_id))
+        kept.write(rows, batch_id)
 
     return (
         stream.writeStream.foreachBatch(handle)
