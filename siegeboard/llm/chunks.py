@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import bitmap, byte_slices, flagged, record_batch, stored, table
+from .shared import bitmap, byte_slices, flagged, record_batch, shield, stored, table
 
 WINDOW = 32
 #: A chunk ends where bits 12 to 19 of the hash are below CUT, every 26 bytes on average.
@@ -164,6 +164,8 @@ def repeated_passages(docs: DataFrame, id_column: str, min_run: int = MIN_RUN) -
 
 def without_repeats(docs: DataFrame, id_column: str, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with the repeated passages cut from ``text``; everything else stays as it is."""
+    docs, back = shield(docs)
+    id_column = {old: new for new, old in back.items()}.get(id_column, id_column)
     spans = (
         repeated_passages(docs, id_column, min_run)
         .groupBy(F.col(id_column).alias("_id"), F.col("row_key").alias("_key"))
@@ -180,7 +182,7 @@ def without_repeats(docs: DataFrame, id_column: str, min_run: int = MIN_RUN) ->
              a -> concat(a.out, substring(_raw, cast(a.at + 1 as int), octet_length(_raw))))"""
     )
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.decode(kept, "UTF-8"))
-    return joined.withColumn("_raw", raw).withColumn("text", text).select(*docs.columns)
+    return joined.withColumn("_raw", raw).withColumn("text", text).select(*docs.columns).withColumnsRenamed(back)
 
 
 def op3_chunk_dedup(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_slices, is_training, record_batch, sum_vectors, table
+from .shared import byte_slices, is_training, record_batch, shield, sum_vectors, table
 
 UNKNOWN = "und"
 BITS = 15
@@ -189,6 +189,7 @@ def identify(docs: DataFrame, model: CodeModel, min_lead: float = MIN_LEAD) -> D
     all others stay; ties go to the first language by code point.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs, back = shield(docs)
     kept = [c for c in docs.columns if c not in OUT]
     rows = docs.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
 
@@ -228,7 +229,7 @@ def identify(docs: DataFrame, model: CodeModel, min_lead: float = MIN_LEAD) -> D
     schema = docs.select(*kept).schema
     for name, kind in zip(OUT, ("string", "double", "string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(label, schema)
+    return rows.mapInArrow(label, schema).withColumnsRenamed(back)
 
 
 def op4_language_codes(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import record_batch, stored, table
+from .shared import record_batch, shield, stored, table
 
 #: A repeated run is deleted if it holds so many words.
 MIN_WORDS = 10
@@ -160,6 +160,8 @@ def without_repeated_runs(docs: DataFrame, id_column: str, min_words: int = MIN_
     ``text`` is what stays, joined by line feeds, and ``n_chars``, if there is such
     a column, its length; other columns and untouched rows stay as they are.
     """
+    docs, back = shield(docs)
+    id_column = {old: new for new, old in back.items()}.get(id_column, id_column)
     found = marked(docs, id_column, min_words)
     changed = found.where(F.col("_gone").isNotNull())
     schema = docs.schema
@@ -175,7 +177,7 @@ def without_repeated_runs(docs: DataFrame, id_column: str, min_words: int = MIN_
                 columns.append((old if new is None else pa.array(new, type=old.type)).filter(some))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return found.where(F.col("_gone").isNull()).drop("_gone").unionByName(changed.mapInArrow(cut, schema))
+    return found.where(F.col("_gone").isNull()).drop("_gone").unionByName(changed.mapInArrow(cut, schema)).withColumnsRenamed(back)
 
 
 REPORT = "n_lines int, deleted array<int>, kept_chars bigint, kept_crc32 bigint"

@@ -55,6 +55,23 @@ def release(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def shield(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that begin with an underscore renamed, and their names to be given back at the end.
+
+    Names with a leading underscore are the operators' own while they work.
+    """
+    taken = {c.lower() for c in df.columns}
+    back: dict[str, str] = {}
+    for name in df.columns:
+        if name.startswith("_"):
+            i = len(back)
+            while f"own{i}" in taken:
+                i += 1
+            taken.add(f"own{i}")
+            back[f"own{i}"] = name
+    return df.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
 def is_training(key: Column, modulus: int, held_out: int) -> Column:
     """False for rows whose crc32 of the id as text leaves the remainder ``held_out``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus != held_out
