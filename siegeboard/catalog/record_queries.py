@@ -505,6 +505,22 @@ def score_lobby(spark, sf):
     return scored.select("lobby", "place", F.round("Difficulty", 4).alias("difficulty"), F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "lobby_distances",
+    vs.GROUPS
+    + f""", scale as (select {", ".join(f"stddev_pop({c}) {c}" for c in NUMBERS)} from k),
+    newest as (select arg_max(id, (start_time, id)) id from g group by map_name),
+    lobbies as (select g.* from g join newest using (id))
+    select lobby, cast(place as bigint) place, round(distance, 6) + 0.0 distance from (
+      select l.id lobby, d.distance, row_number() over (partition by l.id order by d.distance) place from lobbies l, lateral (
+        select {" + ".join(f"((l.{c} - k.{c}) / s.{c}) ^ 2" for c in NUMBERS)} + {" + ".join(f"case when l.{t} = k.{t} then 0 else 2 end" for t in TEXTS)} distance
+        from k, scale s) d) where place <= 8""",
+)
+def lobby_distances(spark, sf):
+    """How near the eight groups of ``score_lobby`` are; groups at equal distance may stand for each other."""
+    return score_lobby(spark, sf).select("lobby", F.col("place").cast("bigint").alias("place"), (F.abs("distance") + 0.0).alias("distance"))
+
+
 FILLED = [*NUMBERS, "nuttyb_hp"]
 SCALED_SQL = "stats as (" + " union all ".join(
     f"""select '{c}' c, m, (select stddev_pop(coalesce({c}, m)) from k) s from (select avg({c}) m from k)""" for c in FILLED
@@ -561,6 +577,32 @@ def rf_importance(spark, sf):
     return im.forest_importance(plain_groups(spark, sf), NUMBERS, TEXTS, "Difficulty", trees=20)
 
 
+def labelled_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Setting groups with the difficulty that is published: after results were carried over."""
+    state, _ = extended(spark, sf)
+    return materialize(state.sized.select(*[col(c) for c in [*NUMBERS, *TEXTS]], col("Difficulty"), label()))
+
+
+@query(
+    "holdout_report",
+    vs.EXTENDED
+    + f""", marked as (select y, substr(md5(group_label), 1, 8) < '33333333' held from (
+      select {LABEL_SQL} group_label, cast(difficulty as double) y from sized k))
+    select cast(count(*) filter (not held) as bigint) n_train, cast(count(*) filter (held) as bigint) n_test,
+      round(avg((y - (select avg(y) from marked where not held)) ^ 2) filter (held), 6) baseline_mse, true better from marked""",
+)
+def holdout_report(spark, sf):
+    """Split by hash, error of the mean predictor, and whether the forest does better on held-out groups."""
+    told = im.holdout_report(labelled_groups(spark, sf), "group_label", NUMBERS, TEXTS, "Difficulty", trees=20)
+    return told.select("n_train", "n_test", F.round("baseline_mse", 6).alias("baseline_mse"), (F.col("mse") < F.col("baseline_mse")).alias("better"))
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    """Growth of the held-out error when one setting is taken from another group."""
+    return im.permutation_importance(labelled_groups(spark, sf), "group_label", NUMBERS, TEXTS, "Difficulty", trees=20)
+
+
 @query("holdout_mse")
 def holdout_mse(spark, sf):
     return im.holdout_error(plain_groups(spark, sf), NUMBERS, TEXTS, "Difficulty", trees=20)

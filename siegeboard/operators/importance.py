@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import col
 from ..functions.numeric import f_score
+from ..session import materialize
+from .ranking import with_row_index
 
 
 class SettingFeatures:
@@ -167,6 +169,72 @@ def forest_importance(
     return found.join(related, "Feature", "left").orderBy(F.desc("importance"), "Feature")
 
 
+def hash_split(df: DataFrame, key: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Rows to learn from and about ``share`` of the rows held out; the key decides, so equal keys stay together.
+
+    Unlike a random split, neither partitioning nor row order moves a row to the other side. A null key is an empty text.
+    """
+    cut = f"{min(int(share * 16**8), 16**8 - 1):08x}"
+    held = F.substring(F.md5(F.coalesce(col(key).cast("string"), F.lit("")).cast("binary")), 1, 8) < cut
+    return df.where(~held), df.where(held)
+
+
+def fixed_layout(df: DataFrame, key: str, parts: int = 32) -> DataFrame:
+    """Rows in partitions and order of their key alone, so that a seeded forest draws the same rows in every run."""
+    return df.repartition(parts, col(key)).sortWithinPartitions(col(key))
+
+
+def holdout_report(
+    df: DataFrame, key: str, numbers: Sequence[str], texts: Sequence[str], target: str, share: float = 0.2, seed: int = 7, trees: int = 100
+) -> DataFrame:
+    """Held-out error of a forest beside that of the learned rows' mean: ``n_train, n_test, baseline_mse, mse``."""
+    train, test = hash_split(df, key, share)
+    model, features = _fitted(train, key, numbers, texts, target, seed, trees)
+    y = col(target).cast("double")
+    known = train.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean")).first()
+    off = y - F.lit(known["mean"])
+    told = model.transform(features.transform(test))
+    miss = y - F.col("prediction")
+    return told.agg(
+        F.lit(known["n"]).cast("bigint").alias("n_train"),
+        F.count(F.lit(1)).alias("n_test"),
+        F.avg(off * off).alias("baseline_mse"),
+        F.avg(miss * miss).alias("mse"),
+    )
+
+
+def _fitted(train: DataFrame, key: str, numbers: Sequence[str], texts: Sequence[str], target: str, seed: int, trees: int):
+    features = SettingFeatures(numbers, texts, rotate=False).fit(train)
+    ready = features.transform(train).select(col(key).alias("key"), "features", col(target).cast("double").alias("label"))
+    return forest(seed, trees).fit(fixed_layout(ready, "key").drop("key")), features
+
+
+def permutation_importance(
+    df: DataFrame, key: str, numbers: Sequence[str], texts: Sequence[str], target: str, share: float = 0.2, seed: int = 7, trees: int = 100
+) -> DataFrame:
+    """How much the held-out squared error grows when one column is taken from another row: ``Feature, increase``.
+
+    Rows are lined up by the hash of their key and each takes the column from the row half a round
+    further on, so every value is used once and the result is the same in every run. ``key`` must be unique.
+    All columns are tried in one pass.
+    """
+    train, test = hash_split(df, key, share)
+    model, features = _fitted(train, key, numbers, texts, target, seed, trees)
+    names = [*numbers, *texts]
+    slim = test.select(col(key).alias("_key"), col(target).cast("double").alias("_y"), *[col(c) for c in names])
+    placed = materialize(with_row_index(slim, [F.md5(F.col("_key").cast("string").cast("binary")), F.col("_key").asc()], name="_at"))
+    n = placed.count()
+    if not n:
+        return df.sparkSession.createDataFrame([], "Feature string, increase double")
+    other = placed.select(F.pmod(F.col("_at") + F.lit(n // 2), F.lit(n)).alias("_at"), *[col(c).alias(f"_other{i}") for i, c in enumerate(names)])
+    tried = placed.join(other, "_at").withColumn("Feature", F.explode(F.array(F.lit(""), *[F.lit(c) for c in names])))
+    tried = tried.withColumns({c: F.when(F.col("Feature") == c, F.col(f"_other{i}")).otherwise(col(c)) for i, c in enumerate(names)})
+    miss = F.col("_y") - F.col("prediction")
+    errors = model.transform(features.transform(tried)).groupBy("Feature").agg(F.avg(miss * miss).alias("mse"))
+    plain = errors.where("Feature = ''").select(F.col("mse").alias("_plain"))  # one row
+    return errors.where("Feature <> ''").join(F.broadcast(plain)).select("Feature", (F.col("mse") - F.col("_plain")).alias("increase"))
+
+
 def holdout_error(
     df: DataFrame, numbers: Sequence[str], texts: Sequence[str], target: str, share: float = 0.2, seed: int = 7, trees: int = 100
 ) -> DataFrame:
