@@ -11,9 +11,9 @@ exact, since any order gives all partners. The boundary between light and heavy
 is where the number of keys, with the reading of lists weighed in, is least.
 
 Lists of equal members are one. Each list's members are first compared with
-its first member, the likeliest pair of a member before its others, and
+its first member, if their sizes allow a link, the likeliest pair of a member before its others, and
 connected components are formed. In lists that
-still hold several components, only members of different components meet, in
+still hold several components near in size, only members of different components meet, in
 blocks of bounded size. A bitmap of set parities gives an upper bound of the
 overlap, which ends most comparisons; the rest compare whole sets. A pair that
 fails does not come again, and rounds go on until no list has an untried pair
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,8 @@ BUCKET_ROWS = 8192
 FILTER_BITS = 27
 #: Parity bits for each shingle, at least.
 PARITY = 4
+#: Sizes that differ by a factor of at most 5/4 lie in the same or in neighbouring bands of this factor; a bit more, for rounding.
+BAND = 1.26
 #: After so many rounds all untried pairs between components are tried at once.
 ROUNDS = 5
 
@@ -238,6 +240,17 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
 
+def open_bands(live: DataFrame) -> DataFrame:
+    """``list`` and ``band`` of the members that can still link to another component of their list.
+
+    Partners differ in size by a quarter at most, so they lie in the same band of
+    sizes or in the next one: bands whose neighbourhood is of one component are done with.
+    """
+    ends = live.groupBy("list", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    near = ends.select("list", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), "lo", "hi")
+    return near.groupBy("list", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("list", "band")
+
+
 def _close(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     """Attach a column of ``sets`` for both ends of pairs."""
     side = {x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"v_{x}")) for x in "ab"}
@@ -333,6 +346,7 @@ def meet(n: list[int], cid: list[int], comp: list[int], block: list[int] | None,
     return found
 
 
+KEYS = "key bigint, cid bigint, n int"
 MEMBERS = "bucket int, list bigint, r1 int, r2 int, cid bigint, comp bigint, block int, other bigint, n bigint, bits binary"
 FOUND = "list bigint, r1 int, r2 int, a bigint, b bigint"
 
@@ -394,7 +408,7 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
 
     def emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, cid, seen = [], [], set()
+            key, cid, size, seen = [], [], [], set()
             for _, s in shingle_sets(batch.column("text")):
                 if not len(s) or (c := set_id(s)) in seen:
                     continue
@@ -402,15 +416,16 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
                 own = keys_of(s, boundary, *shared.value)
                 key.append(own.astype(np.int64))
                 cid.append(np.full(len(own), c, dtype=np.int64))
+                size.append(np.full(len(own), len(s), dtype=np.int32))
                 if sum(map(len, key[-200:])) > 100_000:
-                    yield record_batch("key bigint, cid bigint", np.concatenate(key), np.concatenate(cid))
-                    key, cid = [], []
+                    yield record_batch(KEYS, np.concatenate(key), np.concatenate(cid), np.concatenate(size))
+                    key, cid, size = [], [], []
             if key:
-                yield record_batch("key bigint, cid bigint", np.concatenate(key), np.concatenate(cid))
+                yield record_batch(KEYS, np.concatenate(key), np.concatenate(cid), np.concatenate(size))
 
     texts = docs.select("text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
-    postings = texts.mapInArrow(emit_keys, "key bigint, cid bigint").repartition(parts, "key").dropDuplicates(["key", "cid"])
+    postings = texts.mapInArrow(emit_keys, KEYS).select("key", "cid").repartition(parts, "key").dropDuplicates(["key", "cid"])
     lists = postings.groupBy("key").agg(
         F.count(F.lit(1)).alias("m"),
         F.bit_xor(F.xxhash64("cid")).alias("x"),
@@ -425,10 +440,10 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
             yield batch.filter(pa.array(flagged(lists_flags.value, batch.column("key").to_numpy())))
 
     members = (
-        texts.mapInArrow(emit_members, "key bigint, cid bigint")
-        .distinct()
+        texts.mapInArrow(emit_members, KEYS)
+        .dropDuplicates(["key", "cid"])
         .join(shared_lists.select("key", "m"), "key")
-        .select(F.col("key").alias("list"), "cid", "m")
+        .select(F.col("key").alias("list"), "cid", "n", "m")
     )
     members = stored(members)
     lists_flags.destroy()
@@ -453,10 +468,12 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
 
     sets = texts_of(bearers.select("cid"), PARITIES, lambda s: (set_id(s), len(s), parity_bits(s)))
     # First every list's members with its first one.
-    heads = members.groupBy("list").agg(F.min("cid").alias("head"))
-    stars = members.join(heads, "list").where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
-    fit = (F.col("n_a") * 4 <= F.col("n_b") * 5) & (F.col("n_b") * 4 <= F.col("n_a") * 5)
-    may = stored(_close(stars, sets, "bits").where(fit).mapInArrow(_may_link, MAY))
+    heads = members.groupBy("list").agg(F.min("cid").alias("head"), F.min_by("n", "cid").alias("n_head"))
+    fit = (F.col("n") * 4 <= F.col("n_head") * 5) & (F.col("n_head") * 4 <= F.col("n") * 5)
+    headed = members.join(heads, "list").where("cid <> head")
+    # Sizes alone end most of these pairs, before any parities travel.
+    stars = headed.where(fit).select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
+    may = stored(_close(stars, sets, "bits").mapInArrow(_may_link, MAY))
     # One pair for each member, the likeliest; then the other pairs whose ends are still apart.
     likeliest = may.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")).select("a", "b")
     whole = whole_sets(may)
@@ -468,38 +485,39 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
     release(whole, rest, may)
     links = told.where("ok").select("a", "b")
     # Stars told apart by their bounds cannot link, so all pairs with a list's first member are done with.
-    others = members.join(heads, "list").where("cid <> head").drop("head")
+    others = headed.drop("head", "n_head")
     tried = None
     failed_stars = stored(told.where("not ok").select("a", "b"))
     for turn in range(1, ROUNDS + 1):
         comps = connected(links)
         live = others.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        open_ = live.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-        live = stored(live.join(open_, "list"))
+        live = live.withColumn("band", F.floor(F.log("n") / F.lit(log(BAND))).cast("int"))
+        open_ = stored(open_bands(live))
+        live = stored(live.join(open_, ["list", "band"]))
         size = live.count()
         if not size:
-            release(live, comps)
+            release(live, open_, comps)
             break
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         dealt = (
-            live.withColumn("block", F.pmod(F.xxhash64("cid", "list"), blocks).cast("int"))
+            live.join(sets.select("cid", "bits"), "cid")
+            .withColumn("block", F.pmod(F.xxhash64("cid", "list"), blocks).cast("int"))
             .withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .withColumn("r1", F.least("block", "x"))
             .withColumn("r2", F.greatest("block", "x"))
-            .join(sets.select("cid", "n", "bits"), "cid")
             .withColumn("other", F.lit(0).cast("bigint"))
         )
         bucket = F.pmod(F.xxhash64("list", "r1", "r2"), F.lit(-(-size // BUCKET_ROWS))).cast("int").alias("bucket")
         names = [x.split()[0] for x in MEMBERS.split(", ")][1:]
-        rows = dealt.select(bucket, *names)
+        rows = dealt.withColumn("n", F.col("n").cast("bigint")).select(bucket, *names)
         if tried is not None:
-            done = tried.join(open_, "list").select(
+            done = tried.join(open_.select("list").distinct(), "list").select(
                 "list", "r1", "r2", F.col("a").alias("cid"), F.lit(0).cast("bigint").alias("comp"), F.lit(0).alias("block"),
                 F.col("b").alias("other"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("bits"),
             )
             rows = rows.unionByName(done.select(bucket, *names))
         found = stored(rows.groupBy("bucket").applyInPandas(_meetings(turn == ROUNDS), FOUND))
-        release(live, comps)
+        release(live, open_, comps)
         if found.isEmpty():
             break
         asked = stored(found.select("a", "b").join(failed_stars, ["a", "b"], "left_anti").distinct())

@@ -396,6 +396,23 @@ def test_jaccard_near_copies(spark):
     assert sorted(map(tuple, got), key=str) == brute_groups(rows)
 
 
+def test_jaccard_sizes_in_bands(spark):
+    """Beginnings of one text: chains of sizes exactly a quarter apart, larger gaps, and one list that holds all of them."""
+    steps = [40, 50, 62, 80, 100, 131, 163, 203, 204, 300, 375, 376, 471]
+    text = [f"v{i}" for i in range(480)]
+    rows = [(i, " ".join(text[: n + 4])) for i, n in enumerate(steps * 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.near_duplicate_groups(df, "doc_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_groups(rows)
+
+
+def test_open_bands(spark):
+    members = [(0, 0, 7), (0, 1, 8), (0, 3, 9), (1, 2, 7), (1, 3, 7), (2, 4, 1), (2, 4, 2)]
+    live = spark.createDataFrame(members, "list bigint, band int, comp bigint")
+    got = {tuple(r) for r in ngram_join.open_bands(live).join(live, ["list", "band"]).select("list", "band").collect()}
+    assert got == {(0, 0), (0, 1), (2, 4)}
+
+
 def test_boundary_follows_cost():
     assert ngram_join.choose_boundary({2: 50, 4: 100, 300: 1000}) == 4
     assert ngram_join.choose_boundary({5: 100, 6: 100, 300: 1000}) == 0
