@@ -348,6 +348,32 @@ def tier_tables(spark, sf):
     return ta.resolve_view(spark, root, "gamesettings", "raptors", "easy").select(*settings(), *sizes())
 
 
+TIER_RULES = {"all": "true", "unbeaten": "difficulty = high", "regular": "difficulty > low and difficulty < high", "easy": "difficulty = low"}
+
+
+@query(
+    "view_tables",
+    vs.INDEXED
+    + " union all ".join(
+        f" select '{tier}' tier, {SETTINGS_SQL}, {SIZES_SQL} from sized join ends using (ai) where {rule}"
+        for tier, rule in TIER_RULES.items()
+    ),
+)
+def view_tables(spark, sf):
+    """Every settings view: all tiers of each side, each read from its own partition."""
+    state, _ = extended(spark, sf)
+    root = scratch(spark)
+    kept = state.sized.select(*[col(k) for k in vs.KEYS], "#Winners", "#Players", "Difficulty")
+    ta.write_tiers(kept, f"{root}/setting_groups", BY)
+    shown = None
+    for ai in ("raptors", "scavengers", "barbarian"):
+        for tier in TIER_RULES:
+            rows = ta.resolve_view(spark, root, "gamesettings", ai, tier)
+            rows = rows.select(F.lit(tier).alias("tier"), *settings(), *sizes())
+            shown = rows if shown is None else shown.unionByName(rows)
+    return shown
+
+
 @query("rating_document", vs.RATED + " select ai, cast(player as varchar) player, round(pve_rating::float::double, 2) rating from rated")
 def rating_document(spark, sf):
     """The rating document, written as ordered JSON lines and read back."""

@@ -4,23 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.keys import col
 from ..session import store
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 2_000_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that and one."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes a row takes: 8 for a plain value, the UTF-8 or binary length of a text, the JSON length of nested values."""
+    total = F.lit(8 * len(df.columns)).cast("bigint")
+    for field in df.schema.fields:
+        value = col(field.name)
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+    return total
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when it has been counted small, else as it is."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows of at most ``max_bytes`` bytes together.
+
+    Only the sizes of that many rows and one are gathered, never the rows themselves.
+    """
+    sizes = df.select(row_bytes(df).alias("size")).limit(max_rows + 1)
+    found = sizes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= max_rows and found["bytes"] <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when it has been measured small, else as it is."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
 def join_skewed(
@@ -51,10 +71,9 @@ def join_skewed(
     else:
         hot = hot.withColumn("_cuts_r", F.lit(1))
     hot = store(hot)
-    n_hot = hot.limit(BROADCAST_ROWS + 1).count()
-    if n_hot == 0:
+    if hot.isEmpty():
         return left.join(right, on, how)
-    hot_side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    hot_side = broadcast_if_small(hot)
 
     def salted(df: DataFrame, own: str, other: str, salt: str, copies: str) -> DataFrame:
         spread = F.xxhash64(*([c for c in df.columns if c not in on] or on))
@@ -74,8 +93,9 @@ def join_lookup(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join to a lookup table: broadcast when counted small, else a salted shuffle."""
-    if fits_broadcast(right, max_rows):
+    """Join to a lookup table: broadcast when measured small, else a salted shuffle."""
+    if fits_broadcast(right, max_rows, max_bytes):
         return left.join(F.broadcast(right), list(on), how)
     return join_skewed(left, right, on, how, hot_rows)

@@ -10,7 +10,7 @@ from siegeboard.operators import names as na
 from siegeboard.operators.clean import cast_matches
 from siegeboard.operators.knn import knn
 from siegeboard.plans import ingest as ig
-from siegeboard.plans.joins import join_skewed
+from siegeboard.plans.joins import fits_broadcast, join_lookup, join_skewed, row_bytes
 from siegeboard.plans.lobby import lobby_ai, lobby_table
 from siegeboard.plans.rating import rate
 from siegeboard.plans.recent import publish_recent
@@ -278,3 +278,30 @@ def test_repair_takes_first_backup(spark):
     got = {r["id"]: r for r in jo.repair(main, backups, "n").collect()}
     assert got["a"]["awards"][0][0]["value"] == 2.0 and got["a"]["Map"]["scriptName"] == "m1" and got["a"]["Map Name"] == "two"
     assert got["b"]["awards"][0][0]["value"] == 1.0 and got["b"]["Map Name"] == "kept"
+
+
+def test_wide_lookup_is_not_broadcast(spark):
+    """Few rows of wide texts, binaries or lists are beyond the bytes that may be broadcast; their sizes alone are read."""
+    left = spark.range(40).selectExpr("id % 10 k", "id")
+    narrow = spark.range(10).selectExpr("id k", "cast(null as string) text")
+    assert fits_broadcast(narrow, max_bytes=10_000)
+    assert not fits_broadcast(narrow, max_rows=9)
+    assert fits_broadcast(narrow.limit(0), max_bytes=0)
+    for wide in ("repeat('\u00e9', 5000)", "cast(repeat('x', 10000) as binary)", "sequence(1, 4000)"):
+        right = spark.range(10).selectExpr("id k", f"{wide} text")
+        assert not fits_broadcast(right, max_bytes=90_000)
+        joined = join_lookup(left, right, ["k"], max_bytes=90_000)
+        assert joined.count() == 40 and joined.where("text is null").count() == 0
+    seen = row_bytes(spark.range(1).selectExpr("id", "repeat('\u00e9', 5) t"))
+    assert spark.range(1).selectExpr("id", "repeat('\u00e9', 5) t").select(seen).first()[0] == 26
+
+
+def test_wide_lookup_is_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(40).selectExpr("id % 10 k", "id")
+        right = spark.range(10).selectExpr("id k", "repeat('x', 10000) text")
+        plans = [join_lookup(left, right, ["k"], max_bytes=b)._jdf.queryExecution().executedPlan().toString() for b in (90_000, 200_000)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plans[0] and "BroadcastHashJoin" in plans[1]
