@@ -26,9 +26,10 @@ from pyspark.sql.window import Window
 
 from ..functions.keys import col, fingerprint
 from ..functions.ordinals import ordinal
-from ..plans.joins import join_skewed
+from ..plans.joins import join_lookup, join_skewed
 from ..roles import MatchColumns, SettingRoles
 from ..session import store
+from .carry import first_seats, united_words
 from .groups import difficulty, group_table, member_words, with_group_key
 
 LEVELS = 8
@@ -311,31 +312,9 @@ def extend_results(
     keyed = with_group_key(matches_df, roles, by)
     state = comparable_groups(group_table(keyed, roles, matches, by), roles, by, pivots, block_groups)
     ids = state.groups.select("group_key", "gid")
-    own = store(member_words(keyed, matches).join(ids, "group_key").drop("group_key"))
+    own = store(member_words(keyed.join(ids, "group_key"), matches, "gid"))
     pairs = pair_table(state)
-
-    unknown = F.lit(None).cast("bigint")
-
-    def given(easier: bool) -> DataFrame:
-        """What the matches of one outcome hand on, under the names of the sets they join."""
-        won = F.col("win_winners") if easier else unknown
-        players = F.col("win_players") if easier else F.col("loss_players")
-        handed = own.where(players.isNotNull()).select(
-            F.col("gid").alias("source"), "word", unknown.alias("own_winners"), won.alias("carried"), players.alias("players")
-        )
-        others = pairs.where((F.col("easier") == easier) & (F.col("source") != F.col("gid"))).select("source", "gid")
-        return others.join(handed, "source").drop("source")
-
-    own_rows = own.select("gid", "word", "own_winners", unknown.alias("carried"), F.col("own_players").alias("players"))
-    united = (
-        own_rows.unionByName(given(True))
-        .unionByName(given(False))
-        .groupBy("gid", "word")
-        .agg(*[F.bit_or(c).alias(c) for c in ("own_winners", "carried", "players")])
-    )
-    none = F.lit(0).cast("bigint")
-    either = F.coalesce("own_winners", none).bitwiseOR(F.coalesce("carried", none))
-    words = store(united.withColumn("winners", F.nullif(either, none)))
+    words = store(united_words(state.groups, own, pairs))
     sizes = words.groupBy("gid").agg(
         F.coalesce(F.sum(F.bit_count("winners")), F.lit(0)).alias("#Winners"),
         F.coalesce(F.sum(F.bit_count("players")), F.lit(0)).alias("#Players"),

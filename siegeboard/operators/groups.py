@@ -35,11 +35,11 @@ def group_table(
     )
 
 
-def member_rows(keyed: DataFrame, matches: MatchColumns, *extra: str) -> DataFrame:
+def member_rows(keyed: DataFrame, matches: MatchColumns, *extra: str, key: str = "group_key") -> DataFrame:
     """One row per group, match and player, with ``won`` set for winners."""
     return (
         keyed.select(
-            "group_key",
+            key,
             *[col(c) for c in extra],
             col(matches.ai_win).alias("ai_win"),
             F.coalesce(col(matches.winners), F.array().cast("array<bigint>")).alias("_winners"),
@@ -51,16 +51,16 @@ def member_rows(keyed: DataFrame, matches: MatchColumns, *extra: str) -> DataFra
     )
 
 
-def member_words(keyed: DataFrame, matches: MatchColumns) -> DataFrame:
+def member_words(keyed: DataFrame, matches: MatchColumns, key: str = "group_key") -> DataFrame:
     """Player sets of each group as words, split by what they are good for.
 
     ``own_*`` are the group's own winners and players. ``win_*`` and
     ``loss_players`` are what its won and lost matches hand on to other groups.
     """
-    rows = member_rows(keyed, matches)
+    rows = member_rows(keyed, matches, key=key)
     bit = word_bit(F.col("player"))
     won, ai_win = F.col("won"), F.col("ai_win")
-    return rows.groupBy("group_key", word_index(F.col("player")).alias("word")).agg(
+    return rows.groupBy(key, word_index(F.col("player")).alias("word")).agg(
         F.bit_or(F.when(won, bit)).alias("own_winners"),
         F.bit_or(bit).alias("own_players"),
         F.bit_or(F.when(won & ~ai_win, bit)).alias("win_winners"),
