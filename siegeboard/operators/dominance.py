@@ -370,39 +370,25 @@ def ordered_members(
         "gid",
         "is_source",
         col(matches.ai_win).alias("ai_win"),
-        F.struct(F.lit(1).alias("part"), col(matches.start).alias("start"), col(matches.id).alias("match")).alias("at"),
-        (-col(matches.damage_value)).alias("minus_damage"),
+        col(matches.start).alias("start"),
+        col(matches.id).alias("match"),
         F.posexplode(listed).alias("place", "player"),
     ).where(F.col("player").isNotNull())
 
-    def position(part: int):
-        return F.struct(
-            F.lit(part).alias("part"), F.col("at.start").alias("start"), F.col("at.match").alias("match"), "place"
-        )
-
     top = keyed.groupBy("gid").agg(
         F.min(F.struct((-col(matches.damage_value)).alias("minus_damage"), col(matches.id).alias("match"))).alias("top")
     )
-    own = (
-        seen.join(top, "gid")
-        .withColumn("first_seen", F.when(F.col("at.match") == F.col("top.match"), position(0)).otherwise(position(1)))
-        .select("gid", "player", "first_seen")
+    handed, nobody = F.col("is_source"), F.lit(False)
+    seats = join_lookup(seen, top, ["gid"], "inner").select(
+        "gid",
+        "player",
+        "start",
+        "match",
+        "place",
+        F.coalesce(F.col("match") == F.col("top.match"), nobody).alias("top"),
+        F.coalesce(handed & ~F.col("ai_win"), nobody).alias("win"),
+        (nobody if winners_only else F.coalesce(handed & F.col("ai_win"), nobody)).alias("loss"),
     )
-    def carried(easier: bool) -> DataFrame:
-        outcome = ~F.col("ai_win") if easier else F.col("ai_win")
-        sources = (
-            seen.where(outcome & F.col("is_source"))
-            .groupBy(F.col("gid").alias("source"), "player")
-            .agg(F.min(position(1)).alias("first_seen"))
-        )
-        pairs = _others(extended, easier)
-        if targets is not None:
-            pairs = pairs.join(targets.select("gid"), "gid", "left_semi")
-        return join_skewed(pairs, sources, ["source"]).select("gid", "player", "first_seen")
-
-    rows = own.unionByName(carried(True))
-    if not winners_only:
-        rows = rows.unionByName(carried(False))
-    if targets is not None:
-        rows = rows.join(targets.select("gid"), "gid", "left_semi")
-    return rows.groupBy("gid", "player").agg(F.min("first_seen").alias("first_seen"))
+    pairs = extended.pairs.where("easier") if winners_only else extended.pairs
+    rows = first_seats(extended.state.groups, seats, pairs)
+    return rows if targets is None else rows.join(targets.select("gid"), "gid", "left_semi")
