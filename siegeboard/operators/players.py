@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.keys import col, fingerprint
 from ..functions.numeric import required_teammates
 from ..functions.wordsets import word_members
-from ..plans.joins import join_lookup, join_skewed
+from ..plans.joins import join_lookup
 from ..roles import MatchColumns
 from ..session import materialize, store
+from .carry import union_sizes
 from .dominance import ExtendedGroups
 from .groups import with_group_key
 from .tiers import with_ends
@@ -73,25 +74,20 @@ def losers_sum(extended: ExtendedGroups, by: Sequence[str] = ()) -> DataFrame:
     """Distinct players who played but never won a group that the player won.
 
     Players who won the same groups share one answer. Which records are the same is told by a
-    fingerprint that sums up in any order (count, xor and sum of the groups' hashes), so
-    no list of groups is built: one player stands for all of a record, and only that player's wins
-    meet the loser sets, row by row, united word by word.
+    fingerprint that sums up in any order (count, xor and sum of the groups' hashes); one list of
+    groups for each different record meets the loser sets, slice by slice of their words.
     """
     labels = [col(b) for b in by]
+    side = F.xxhash64(*labels).alias("bucket") if by else F.lit(0).cast("long").alias("bucket")
     never_won = F.col("players").bitwiseAND(F.bitwise_not(F.coalesce("own_winners", F.lit(0).cast("long"))))
     lost = extended.words.select("gid", "word", never_won.alias("bits")).where(F.col("bits") != 0)
-    wins = store(own_wins(extended, by))
-    records = store(wins.groupBy(*labels, "Player").agg(*_set_fingerprint("gid")))
-    bearers = records.groupBy(*PRINT).agg(F.min(F.struct(*labels, "Player")).alias("bearer"))
-    held = wins.select(F.struct(*labels, "Player").alias("bearer"), "gid").join(bearers, "bearer").select(*PRINT, "gid")
-    sums = (
-        join_skewed(held, lost, ["gid"])
-        .groupBy(*PRINT, "word")
-        .agg(F.bit_or("bits").alias("bits"))
-        .groupBy(*PRINT)
-        .agg(F.sum(F.bit_count("bits")).cast("long").alias("Difficulty Losers Sum"))
-    )
-    return records.join(sums, list(PRINT), "left").na.fill(0, ["Difficulty Losers Sum"]).drop(*PRINT)
+    sides = extended.state.groups.select("gid", side)
+    wins = own_wins(extended, by)
+    records = store(wins.groupBy(*labels, "Player").agg(*_set_fingerprint("gid"), F.collect_list("gid").alias("groups")))
+    different = records.groupBy(*PRINT).agg(F.first(side).alias("bucket"), F.first("groups").alias("groups"))
+    sums = union_sizes(join_lookup(lost, sides, ["gid"], "inner"), store(different), PRINT)
+    counted = sums.withColumnRenamed("size", "Difficulty Losers Sum")
+    return records.drop("groups").join(counted, list(PRINT), "left").na.fill(0, ["Difficulty Losers Sum"]).drop(*PRINT)
 
 
 #: Columns of a set fingerprint.
