@@ -233,9 +233,11 @@ def completions(
     wins = (
         extended.own_words.where(F.col("win_winners").isNotNull())
         .select(F.col("gid").alias("source"), F.explode(word_members(F.col("word"), F.col("win_winners"))).alias("Player"))
-        .join(labels, "source")
+        .repartition("Player")
     )
-    found = wins.join(reached, "source").select(*[col(b) for b in by], "Player", "gid", *facts).distinct()
+    # Once dealt by player, a win meets lookups that are sent to it, and neither the repeated groups nor the ranks need another shuffle.
+    labelled = join_lookup(wins, labels, ["source"], "inner")
+    found = join_lookup(labelled, reached, ["source"], "inner").select(*[col(b) for b in by], "Player", "gid", *facts).distinct()
     if extended.state.groups.where(~F.col("is_source")).limit(1).count():
         groups = indexed.select("gid", *[col(b) for b in by], "index", level.alias("diff"))
         single = unmatched_completions(extended, matches_df, matches, by).join(groups, "gid")

@@ -312,3 +312,12 @@ def test_previous_value_crosses_ranges(spark):
         want[row["id"]] = last.get(row["k"])
         last[row["k"]] = row["id"]
     assert {r["id"]: r["before"] for r in got} == want and len(got) == 3000
+
+
+def test_best_groups_are_found_without_dealing_them_again(spark):
+    """A player's wins are dealt once; the groups they reach stay where the player's wins are."""
+    df = frame(spark, random_matches(1, 120, False))
+    state = extend_results(df, ROLES, COLUMNS, ["ai"], block_groups=7)
+    best = pl.completions(state, materialize(pl.setting_index(state, ["ai"])), df, COLUMNS, ["ai"])
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(Player" in plan and "hashpartitioning(ai" not in plan
