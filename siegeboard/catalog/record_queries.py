@@ -287,7 +287,7 @@ def setting_report_query(spark, sf):
         col("Players").alias("players"),
         *[F.array_join(col(c), ",").alias(a) for a, c in lists.items()],
         *[
-            F.array_join(F.transform(F.array_sort(F.transform(col(c), lambda x: x.cast("bigint"))), lambda x: x.cast("string")), ",").alias(a)
+            F.array_join(F.transform(F.sort_array(F.transform(col(c), lambda x: x.cast("bigint"))), lambda x: x.cast("string")), ",").alias(a)
             for a, c in {"merged_wins": "Merged Win Replays", "merged_losses": "Merged Loss Replays"}.items()
         ],
         col("Copy Paste").alias("setup"),

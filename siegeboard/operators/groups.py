@@ -134,5 +134,5 @@ def list_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     The list is one cell of a published row, so it is as long as the report
     wants it to be; nothing but report tables should call this.
     """
-    packed = F.array_sort(F.collect_list(F.struct(*order, col(value).alias("_value"))))
+    packed = F.sort_array(F.collect_list(F.struct(*order, col(value).alias("_value"))))
     return df.groupBy(*keys).agg(F.transform(packed, lambda x: x["_value"]).alias(out))
