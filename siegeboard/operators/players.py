@@ -22,6 +22,7 @@ from .ranking import (
     combined_rank,
     games_label,
     min_max_rating,
+    smallest_per,
     top_k_per,
     with_row_index,
 )
@@ -215,7 +216,8 @@ def completions(
 
     In a group without unknown settings all winners, own or carried, have the
     same completion, so the best ``k`` of a player are among the best ``k`` that each of
-    the player's won groups reaches; membership lists are never expanded.
+    the player's won groups reaches; membership lists are never expanded, and what
+    is not among a player's best is dropped before the wins are dealt by player.
     Ties go to the smaller index.
     """
     level = F.col("Difficulty").cast("double")
@@ -227,17 +229,22 @@ def completions(
         .withColumn("completion", closed_completion(level, F.col("#Winners"), F.col("n_matches")))
         .withColumn("diff_completion", F.col("diff") * F.col("completion"))
     )
-    pairs = extended.pairs.where("easier").select("source", "gid").join(scored.select("gid", *facts), "gid")
-    reached = top_k_per(pairs, ["source"], best_first, k).drop("place")
-    labels = extended.state.groups.select(F.col("gid").alias("source"), *[col(b) for b in by])
-    wins = (
-        extended.own_words.where(F.col("win_winners").isNotNull())
-        .select(F.col("gid").alias("source"), F.explode(word_members(F.col("word"), F.col("win_winners"))).alias("Player"))
-        .repartition("Player")
+    # One number a group, the better the smaller: what a win leads to travels as a short list of them.
+    numbered = with_row_index(scored, [*[col(b) for b in by], *best_first], name="best")
+    pairs = extended.pairs.where("easier").select("source", "gid").join(numbered.select("gid", "best"), "gid")
+    side = F.xxhash64(*[col(b) for b in by]) if by else F.lit(0).cast("long")
+    labels = extended.state.groups.select(F.col("gid").alias("source"), side.alias("side"))
+    reached = join_lookup(
+        top_k_per(pairs, ["source"], [F.col("best").asc()], k).groupBy("source").agg(F.collect_list("best").alias("bests")), labels, ["source"], "inner"
+    )
+    wins = extended.own_words.where(F.col("win_winners").isNotNull()).select(
+        F.col("gid").alias("source"), F.explode(word_members(F.col("word"), F.col("win_winners"))).alias("Player")
+    )
+    reachable = join_lookup(wins, reached, ["source"], "inner").select("side", "Player", "bests")
+    kept = smallest_per(reachable, ["side", "Player"], "bests", k)
+    found = join_lookup(kept.withColumnRenamed("value", "best"), numbered.select(*[col(b) for b in by], "gid", *facts, "best"), ["best"], "inner").select(
+        *[col(b) for b in by], "Player", "gid", *facts
     )
-    # Once dealt by player, a win meets lookups that are sent to it, and neither the repeated groups nor the ranks need another shuffle.
-    labelled = join_lookup(wins, labels, ["source"], "inner")
-    found = join_lookup(labelled, reached, ["source"], "inner").select(*[col(b) for b in by], "Player", "gid", *facts).distinct()
     if extended.state.groups.where(~F.col("is_source")).limit(1).count():
         groups = indexed.select("gid", *[col(b) for b in by], "index", level.alias("diff"))
         single = unmatched_completions(extended, matches_df, matches, by).join(groups, "gid")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,5 +152,55 @@ def top_k_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: in
     return df.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 
 
+#: Values that a task of ``smallest_per`` holds before it drops all but the smallest of each key.
+HELD_VALUES = 1 << 20
+
+
+def _smallest(columns: Sequence[np.ndarray], k: int) -> list[np.ndarray]:
+    """The ``k`` smallest different values (last column) of each key (the columns before)."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    columns = [c[fresh] for c in columns]
+    first = np.ones(len(columns[0]), dtype=bool)
+    first[1:] = np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)
+    at = np.arange(len(first))
+    kept = at - np.maximum.accumulate(np.where(first, at, 0)) < k
+    return [c[kept] for c in columns]
+
+
+def smallest_per(df: DataFrame, keys: Sequence[str], lists: str, k: int, held: int = HELD_VALUES) -> DataFrame:
+    """The ``k`` smallest different values in the lists of each key as rows ``keys``, ``value``; keys and values are bigint, not null.
+
+    Rows are dealt by the last key. Every task first drops what is not among the smallest that it has met for the key, so that hardly more than
+    ``k`` values a key and task are shuffled. A task holds at most about ``held`` values; if dropping does not
+    help, it hands on what it has and goes on.
+    """
+    names = [*keys, "value"]
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            listed = batch.column(lists)
+            times = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            values = listed.flatten().to_numpy(zero_copy_only=False)
+            parts.append([*[np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in keys], values])
+            size += len(values)
+            if size >= held:
+                columns = _smallest([np.concatenate(c) for c in zip(*parts, strict=True)], k)
+                parts, size = [columns], len(columns[0])
+                if 2 * size >= held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                    parts, size = [], 0
+        if size:
+            columns = _smallest([np.concatenate(c) for c in zip(*parts, strict=True)], k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    dropped = df.select(*keys, lists).mapInArrow(drop, ", ".join(f"{c} bigint" for c in names)).repartition(keys[-1]).distinct()
+    return top_k_per(dropped, keys, [F.col("value").asc()], k).drop("place")
+
+
 def games_label(n_games: Column, cap: int = 20) -> Column:
     return F.when(n_games > cap, F.lit(f">{cap}")).otherwise(F.least(n_games, F.lit(cap)).cast("string"))

@@ -321,3 +321,27 @@ def test_best_groups_are_found_without_dealing_them_again(spark):
     best = pl.completions(state, materialize(pl.setting_index(state, ["ai"])), df, COLUMNS, ["ai"])
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(Player" in plan and "hashpartitioning(ai" not in plan
+
+
+@pytest.mark.parametrize("held", [8, 1 << 20])
+def test_smallest_values_of_each_key(spark, held):
+    """A task drops all but the smallest values before the shuffle; the result does not depend on how much it holds."""
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 2), rng.randint(0, 9), [rng.randint(0, 400) for _ in range(rng.randint(0, 5))]) for _ in range(3000)] + [(0, 1, None)]
+    df = spark.createDataFrame(rows, "side bigint, player bigint, bests array<bigint>").repartition(3)
+    got = {}
+    for r in rk.smallest_per(df, ["side", "player"], "bests", 4, held).collect():
+        got.setdefault((r["side"], r["player"]), []).append(r["value"])
+    want = {}
+    for side, player, bests in rows:
+        want.setdefault((side, player), set()).update(bests or ())
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:4] for k, v in want.items()}
+
+
+def test_few_rows_a_player_are_dealt(spark):
+    """Of a player who won very many groups, only the best ones of each task are shuffled."""
+    many = spark.range(20000, numPartitions=2).select(F.lit(0).cast("long").alias("side"), F.lit(7).cast("long").alias("player"), F.array("id").alias("bests"))
+    dealt = rk.smallest_per(many, ["side", "player"], "bests", 5)
+    assert sorted(r["value"] for r in dealt.collect()) == [0, 1, 2, 3, 4]
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression [player") < plan.index("MapInArrow")
