@@ -76,19 +76,55 @@ def _hash(seed: int, columns: list[str]) -> Column:
     return F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
 
 
-def mix(docs: DataFrame, identity: list[str], weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Add ``source_size``, ``target``, ``taken`` and ``draws`` to rows with ``source`` and ``size`` (words).
+@dataclass(frozen=True)
+class Deal:
+    """What the mixture takes of every source and block: ``plan`` has a row for each source, ``blocks`` one for each block."""
 
-    ``draws`` lists what the mixture takes of a row, one entry for each copy:
-    its shard, its place in the shard's shuffle, and the number of words from
-    the start of the text (less than ``size`` only in the one document where the
-    quota ends). Rows that are not taken have none.
+    plan: DataFrame
+    blocks: DataFrame
+    identity: list[str]
+    max_repeats: int
+    seed: int
 
-    Sources are ordered by code point, null last, and get the weights in turn.
-    ``identity`` tells rows apart; equal rows lie side by side and may share the
-    end of the quota in either order. Rows without words are never taken. The
-    driver holds one row for each source and block, never a document.
-    """
+    def placed(self, docs: DataFrame) -> DataFrame:
+        """Rows with what is known of their source and block; ``_ends`` marks the block of a source in which its quota ends."""
+        return (
+            docs.withColumnRenamed("source", "_name")
+            .join(F.broadcast(self.plan), F.col("_name").eqNullSafe(F.col("source")))
+            .drop("_name")
+            .withColumn("_block", F.pmod(_hash(self.seed, self.identity), F.col("_blocks")).cast("int"))
+            .join(F.broadcast(self.blocks), ["_source", "_block"])
+        )
+
+    def before(self) -> Column:
+        """Words of the rows before a row in the order of its block; all rows of the block must be there."""
+        order = [_hash(self.seed + 1, self.identity), *self.identity]
+        rows = Window.partitionBy("_source", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("size").over(rows), F.lit(0))
+
+    def drawn(self, placed: DataFrame, before: Column) -> DataFrame:
+        """Add ``taken`` and ``draws``. In a block in which no quota ends every row is wanted or none, whatever stands ``before``."""
+        rows = (
+            placed.withColumn("_run", before)
+            .withColumn("_rest", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_part") - F.col("_start") - F.col("_run"))))
+            .withColumn("taken", (F.col("size") * F.col("_whole") + F.col("_rest")).cast("long"))
+        )
+        order = _hash(self.seed + 2, self.identity)
+        draws = F.transform(
+            F.sequence(F.lit(0), F.lit(self.max_repeats)),
+            lambda c: F.struct(
+                F.get("_shards", c).alias("shard"),
+                F.xxhash64(order, c).alias("place"),
+                F.when(c < F.col("_whole"), F.col("size")).when(c == F.col("_whole"), F.col("_rest")).otherwise(F.lit(0)).cast("long").alias("words"),
+            ),
+        )
+        return rows.withColumn("draws", F.filter(draws, lambda d: d["words"] > 0)).drop(
+            "_source", "_block", "_blocks", "_whole", "_part", "_run", "_start", "_shards", "_ends", "_rest"
+        )
+
+
+def deal(docs: DataFrame, identity: list[str], weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, shards: int = SHARDS, seed: int = SEED) -> Deal:
+    """Draw how the blocks of all sources of ``docs`` (``source``, ``size``) go to the shards; the driver holds no document."""
     spark = docs.sparkSession
     found = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -114,6 +150,7 @@ def mix(docs: DataFrame, identity: list[str], weights: tuple[float, ...] = WEIGH
     rng = np.random.default_rng(seed)
     copies: list[list[tuple[int, int]]] = []
     starts: dict[tuple[int, int], int] = {}
+    ends: set[tuple[int, int]] = set()
     for i, s in enumerate(sources):
         at, units = 0, []
         whole, part = (s.quota // s.size, s.quota % s.size) if s.size else (0, 0)
@@ -121,6 +158,8 @@ def mix(docs: DataFrame, identity: list[str], weights: tuple[float, ...] = WEIGH
             starts[i, b] = at
             if at < part and held.get((i, b)):
                 units.append((b, whole))
+            if at < part < at + held.get((i, b), 0):
+                ends.add((i, b))
             at += held.get((i, b), 0)
             units += [(b, c) for c in range(whole)]
         copies.append([units[j] for j in rng.permutation(len(units))] if units else [])
@@ -130,30 +169,27 @@ def mix(docs: DataFrame, identity: list[str], weights: tuple[float, ...] = WEIGH
         for (b, c), shard in zip(units, np.repeat(np.arange(shards), quota[:, i]), strict=True):
             home.setdefault((i, b), {})[c] = int(shard)
     blocks = spark.createDataFrame(
-        [(i, b, at, [home.get((i, b), {}).get(c, -1) for c in range(max_repeats + 1)]) for (i, b), at in starts.items()],
-        "_source int, _block int, _start bigint, _shards array<int>",
-    )
-    before = (
-        Window.partitionBy("_source", "_block").orderBy(_hash(seed + 1, identity), *identity).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = (
-        rows.withColumn("_run", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .join(F.broadcast(blocks), ["_source", "_block"])
-        .withColumn("_rest", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_part") - F.col("_start") - F.col("_run"))))
-        .withColumn("taken", (F.col("size") * F.col("_whole") + F.col("_rest")).cast("long"))
-    )
-    order = _hash(seed + 2, identity)
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(max_repeats)),
-        lambda c: F.struct(
-            F.get("_shards", c).alias("shard"),
-            F.xxhash64(order, c).alias("place"),
-            F.when(c < F.col("_whole"), F.col("size")).when(c == F.col("_whole"), F.col("_rest")).otherwise(F.lit(0)).cast("long").alias("words"),
-        ),
-    )
-    return placed.withColumn("draws", F.filter(draws, lambda d: d["words"] > 0)).drop(
-        "_source", "_block", "_blocks", "_whole", "_part", "_run", "_start", "_shards", "_rest"
+        [(i, b, at, [home.get((i, b), {}).get(c, -1) for c in range(max_repeats + 1)], (i, b) in ends) for (i, b), at in starts.items()],
+        "_source int, _block int, _start bigint, _shards array<int>, _ends boolean",
     )
+    return Deal(plan, blocks, identity, max_repeats, seed)
+
+
+def mix(docs: DataFrame, identity: list[str], weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Add ``source_size``, ``target``, ``taken`` and ``draws`` to rows with ``source`` and ``size`` (words).
+
+    ``draws`` lists what the mixture takes of a row, one entry for each copy:
+    its shard, its place in the shard's shuffle, and the number of words from
+    the start of the text (less than ``size`` only in the one document where the
+    quota ends). Rows that are not taken have none.
+
+    Sources are ordered by code point, null last, and get the weights in turn.
+    ``identity`` tells rows apart; equal rows lie side by side and may share the
+    end of the quota in either order. Rows without words are never taken. The
+    driver holds one row for each source and block, never a document.
+    """
+    dealt = deal(docs, identity, weights, max_repeats, shards, seed)
+    return dealt.drawn(dealt.placed(docs), dealt.before())
 
 
 def word_count(text: Column) -> Column:
@@ -183,6 +219,9 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns are those of ``docs``. Only the document in which a source's quota
     ends is cut, after the words that are still wanted; its ``n_chars`` follows.
     Rows equal in every column share a key; each of their draws gives one copy.
+
+    What is taken of a row follows from its source and block alone, but in the blocks in which a
+    quota ends; only rows of these meet their draws by key, so that a text is shuffled once, into its shard.
     """
     parts = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
     row = docs.select(
@@ -192,20 +231,18 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.xxhash64(F.lit(2), *parts).alias("key2"),
         word_count(F.col("text")).alias("size"),
     )
+    keys = ["key", "key2"]
     sized = stored(row.drop("row"))
-    plan = stored(mix(sized, ["key", "key2"]).select("key", "key2", F.explode("draws").alias("draw")))
+    dealt = deal(sized, keys)
+    at_end = dealt.drawn(dealt.placed(sized).where("_ends"), dealt.before())
+    ends = stored(at_end.select(*keys, F.explode("draws").alias("draw")))
     release(sized)
+    placed = dealt.placed(row)
+    whole = dealt.drawn(placed.where(~F.col("_ends")), F.lit(0)).select("row", F.explode("draws").alias("draw"))
     # Equal rows are one text here, so that a draw meets it once.
-    taken = row.drop("source", "size").dropDuplicates(["key", "key2"]).join(plan, ["key", "key2"])
+    ended = placed.where("_ends").select("row", *keys).dropDuplicates(keys).join(ends, keys).select("row", "draw")
     text, wanted = F.col("row.text"), F.col("draw.words")
     cut = F.when(wanted < word_count(text), first_words(text, wanted)).otherwise(text)
-    # Shards go out in pieces of their shuffled order, so that no shard is one task.
-    out = (
-        taken.withColumn("cut", cut)
-        .withColumn("piece", F.shiftrightunsigned("draw.place", 58))
-        .repartition(F.col("draw.shard"), F.col("piece"))
-        .sortWithinPartitions("draw.shard", "piece", "draw.place")
-    )
     shorter = F.char_length("cut") < F.char_length(text)
     columns = [
         F.col("cut").alias(c)
@@ -215,4 +252,11 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         else F.col(f"row.{c}")
         for c in docs.columns
     ]
-    return out.select(*columns)
+    out = whole.withColumn("cut", text).unionByName(ended.withColumn("cut", cut)).select(F.struct(*columns).alias("row"), "draw.shard", "draw.place")
+    # Shards go out in pieces of their shuffled order, so that no shard is one task.
+    return (
+        out.withColumn("piece", F.shiftrightunsigned("place", 58))
+        .repartition("shard", "piece")
+        .sortWithinPartitions("shard", "piece", "place")
+        .select("row.*")
+    )

@@ -217,6 +217,37 @@ def test_mixture_of_repeated_rows(spark):
     assert sum(r.doc_id == 1 for r in out) <= 15
 
 
+def test_only_ends_of_quotas_meet_by_key(spark, monkeypatch):
+    """With many blocks a text goes straight to its shard; the rows are those of draws joined to texts."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    rows = [(i, " ".join(["w"] * (i % 23)), "xyz"[i % 3] if i % 10 else None, "a b") for i in range(400)] + [(401, "q r s", "x", "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, place string").repartition(4)
+    out = mixing.mixing_stage(spark, docs, "")
+    taken = Counter()
+    for r in out.collect():
+        taken[r.doc_id] += len(words(r.text))
+    parts = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    sized = docs.select("doc_id", "source", F.xxhash64(F.lit(1), *parts).alias("key"), F.xxhash64(F.lit(2), *parts).alias("key2"), mixing.word_count(F.col("text")).alias("size"))
+    want = Counter()
+    for r in mixing.mix(sized, ["key", "key2"]).collect():
+        want[r.doc_id] += r.taken
+    assert +taken == +want
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slot_tables_are_the_counters():
+    """Log-odds and gates looked up by slot are those computed from the counts at every place."""
+    rng = np.random.default_rng(4)
+    counts = np.zeros((2, lm.STARTS[-1]), dtype=np.float32)
+    counts[:, :: 7] = rng.integers(0, 900, counts[:, :: 7].shape)
+    model = lm.MixModel(counts, lm.first_weights(), np.zeros((lm.GATES, lm.BINS)), np.zeros((1, 1 << lm.GRAM_BITS)))
+    data, _, context = lm.symbols([b"abc", b"d", b"some longer word"])
+    assert np.array_equal(lm.symbols([b"abc", b"d", b"some longer word"], lm.ORDERS[:2])[2], context[:2])
+    slots = lm.bit_slots(data, context, 3)
+    odds, g, h = lm.predictions(counts, slots, 0, (data >> 4) & 1)
+    assert np.array_equal(model.slot_odds[slots], odds) and np.array_equal(model.slot_gates[slots[4]], g) and np.array_equal(model.slot_gates[slots[3]], h)
+
+
 def test_first_words(spark):
     df = spark.createDataFrame([("  a b  c\nd ",), ("a b c",)], "text string")
     assert [r[0] for r in df.select(mixing.first_words(F.col("text"), F.lit(2))).collect()] == ["  a b", "a b"]
