@@ -79,14 +79,14 @@ def match_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nested_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The match view as raw nested records, odd ones included.
+def nested_view(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -> DataFrame:
+    """The match view as raw nested records, odd ones included; ``games`` is the view if it is at hand.
 
     Matches of one map hold an AI nobody knows, orders without a stated priority
     get a third team, the dearest orders a mixed team, the cheapest no length;
     the owner of a very high damage award has a handicap.
     """
-    games = match_view(spark, sf_dir)
+    games = match_view(spark, sf_dir) if games is None else games
     handicapped = F.col("damage_value") > 100000
     players = F.transform(
         "players",

@@ -22,7 +22,7 @@ from ..operators.tiers import fetch_queue
 from ..plans import ingest as ig
 from ..plans.lobby import score_lobbies
 from ..plans.rating import setting_report
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ensure_checkpoint_dir, materialize, store
 from ..sources import landing as la
 from ..sources import tables as ta
 from ..streaming.ingest import ingest_rows, stored_rows
@@ -295,9 +295,9 @@ def setting_report_query(spark, sf):
     )
 
 
-def replay_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Setting groups of the view with own replay lists and row numbers."""
-    games = match_view(spark, sf).withColumn("id", F.col("id").cast("string"))
+def replay_groups(games: DataFrame) -> DataFrame:
+    """Setting groups of the match view ``games`` with own replay lists and row numbers."""
+    games = games.withColumn("id", F.col("id").cast("string"))
     keyed = materialize(gr.with_group_key(games, VIEW_ROLES, BY))
     groups = gr.plain_difficulty(games, VIEW_ROLES, VIEW_COLUMNS, BY)
     replays = gr.own_replays(keyed, VIEW_COLUMNS)
@@ -322,9 +322,11 @@ def replay_groups(spark: SparkSession, sf: str) -> DataFrame:
 )
 def recent_games(spark, sf):
     """All games with names, result and their group's settings."""
-    derived = materialize(cl.derive_matches(records(spark, sf)).drop(*VIEW_ROLES.settings))
+    # Records, lists and difficulties are all made of the view; the records are read once.
+    games = store(match_view(spark, sf))
+    derived = materialize(cl.derive_matches(nested_view(spark, sf, games)).drop(*VIEW_ROLES.settings))
     names = na.latest_names(na.name_sightings(derived))
-    groups = replay_groups(spark, sf).select("Win Replays", "Loss Replays", "Difficulty", "difficulty_ord")
+    groups = replay_groups(games).select("Win Replays", "Loss Replays", "Difficulty", "difficulty_ord")
     shown = rp.recent_games(derived, groups, names)
     return shown.select(
         F.date_format(col("Start Time"), "yyyy-MM-dd").alias("start_day"),

@@ -305,3 +305,34 @@ def test_wide_lookup_is_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in plans[0] and "BroadcastHashJoin" in plans[1]
+
+
+def test_recent_games_make_the_view_once(spark, tmp_path, monkeypatch):
+    """Records, replay lists and difficulties come from one stored match view."""
+    from siegeboard.catalog import matchview, record_queries
+
+    day = "timestamp'2024-01-0{}'"
+    frames = {
+        "customer": "select * from values (1L, 'BUILDING'), (2L, 'AUTO') as t(c_custkey, c_mktsegment)",
+        "orders": "select * from values "
+        + ", ".join(f"({k}L, {1 + k % 2}L, 'P', {50000.0 + k}D, {day.format(k)}, '1-URGENT')" for k in (1, 2, 4, 5))
+        + " as t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)",
+        "lineitem": "select * from values "
+        + ", ".join(f"({k}L, {s}L, {s}, {s}D, {1000.0 * s + k}D)" for k in (1, 2, 4, 5) for s in (1, 2, 3))
+        + " as t(l_orderkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice)",
+    }
+    for name, text in frames.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    calls = []
+
+    def counted(*args):
+        calls.append(args)
+        return view(*args)
+
+    view = matchview.match_view
+    monkeypatch.setattr(matchview, "match_view", counted)
+    monkeypatch.setattr(record_queries, "match_view", counted)
+    rows = record_queries.recent_games(spark, str(tmp_path)).collect()
+    assert [r["id"] for r in rows] == ["5", "4", "2", "1"] and all(r["difficulty"] is not None for r in rows)
+    assert {r["crew"] for r in rows} == {"player 1, player 2, player 3"}
+    assert len(calls) == 1
