@@ -114,8 +114,7 @@ def merged_replays_query(spark: SparkSession, sf: str) -> DataFrame:
     """Replays of other groups that count for a group, one row each."""
     state, games = extended(spark, sf)
     replays = gr.own_replays(gr.with_group_key(games, VIEW_ROLES, BY), VIEW_COLUMNS)
-    rows = merged_replays(state, replays)
-    return rows.join(state.state.groups, "gid").select(label(), "kind", "replay")
+    return merged_replays(state, replays, state.state.groups.select("gid", label())).select("group_label", "kind", "replay")
 
 
 @query(

@@ -332,18 +332,23 @@ def _others(extended: ExtendedGroups, easier: bool) -> DataFrame:
     return extended.pairs.where((F.col("easier") == easier) & (F.col("source") != F.col("gid"))).select("source", "gid")
 
 
-def merged_replays(extended: ExtendedGroups, replays: DataFrame) -> DataFrame:
+def merged_replays(extended: ExtendedGroups, replays: DataFrame, takers: DataFrame | None = None) -> DataFrame:
     """Replays of other groups that count for each group, one row per group and replay.
 
-    ``replays`` is the output of ``own_replays``; the result has ``gid, kind, replay``.
+    ``replays`` is the output of ``own_replays``; the result has ``gid, kind, replay``. ``takers`` (``gid`` and more
+    columns, one row a group) limits the groups and adds its columns: they are looked up for the pairs, before these meet
+    the replays, so that the rows of the result are not shuffled any more.
     """
     ids = extended.state.groups.select("group_key", "gid")
-    by_group = replays.join(ids, "group_key").select(F.col("gid").alias("source"), "kind", "replay")
+    by_group = join_lookup(replays, ids, ["group_key"], "inner").select(F.col("gid").alias("source"), "kind", "replay")
+    wanted = store(by_group, partition_by=("kind",))
+    out = ["gid", "kind", "replay", *([] if takers is None else [c for c in takers.columns if c != "gid"])]
 
     def carried(easier: bool, kind: str) -> DataFrame:
         pairs = _others(extended, easier)
-        wanted = by_group.where(F.col("kind") == kind)
-        return join_skewed(pairs, wanted, ["source"]).select("gid", "kind", "replay")
+        if takers is not None:
+            pairs = join_lookup(pairs, takers, ["gid"], "inner")
+        return join_skewed(pairs, wanted.where(F.col("kind") == kind), ["source"]).select(*[col(c) for c in out])
 
     return carried(True, "Win").unionByName(carried(False, "Loss"))
 

@@ -196,6 +196,17 @@ def test_merged_replays_match_the_loop(case):
         assert sorted(got.get((key, "Loss"), [])) == sorted(lost)
 
 
+def test_merged_replays_look_takers_up_before_the_rows_multiply(case):
+    rows, df, state = case
+    replays = gr.own_replays(gr.with_group_key(df, ROLES, ["ai"]), COLUMNS)
+    takers = state.state.groups.where(F.col("gid") % 2 == 0).select("gid", F.concat(F.lit("g"), F.col("gid").cast("string")).alias("named"))
+    got = merged_replays(state, replays, takers)
+    want = [("g%d" % r.gid, r.kind, r.replay) for r in merged_replays(state, replays).collect() if r.gid % 2 == 0]
+    assert sorted((r.named, r.kind, r.replay) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "source#" in next(x for x in plan.splitlines() if "Join" in x)  # the last join is that of pairs and replays
+
+
 def test_ordered_members_hold_the_sets(case):
     rows, df, state = case
     lists = loop(rows)
