@@ -59,6 +59,54 @@ def test_lm_nothing_to_learn_and_empty(docs, none):
     assert lm.score_texts(none.withColumn("train", F.lit(True)), "doc_id").count() == 0
 
 
+def coded(words, limit):
+    coder = lm.Coder()
+    for some in lm.pieces(words, limit):
+        data, _, context = lm.symbols(some)
+        coder.code(data, context)
+    return coder
+
+
+def test_lm_counters_learn_while_bits_are_coded():
+    """A bit is predicted by what was coded before it, and by nothing else; the counters hold every bit in the end."""
+    coder = lm.Coder()
+    data, _, context = lm.symbols([b"online"])
+    for i in range(len(data)):
+        before = coder.weights.copy()
+        coder.code(data[i : i + 1], context[:, i : i + 1])
+        assert i or np.array_equal(before, coder.weights)  # nothing was known of the first symbol
+    assert not np.array_equal(lm.first_weights()[0], coder.weights[0]) or coder.used.sum() == 16 * len(data)
+    moved = coder.weights.copy()
+    coder.code(data, context)
+    assert not np.array_equal(moved, coder.weights)
+    some = [w for r in range(3) for w in (b"one", b"two%d" % r, b"three", b"\n")]
+    coder = coded(some, 5)
+    data, _, context = lm.symbols(some)
+    want = np.zeros((2, lm.STARTS[-1]), dtype=np.int64)
+    for j in range(8):
+        slots = lm.bit_slots(data, context, j)
+        for side in range(2):
+            np.add.at(want[side], slots[:, (data >> (7 - j)) & 1 == side].ravel(), 1)
+    assert np.array_equal(coder.counts, want) and coder.used.sum() == 2 * 8 * len(data) == 2 * coder.seen.sum()
+
+
+def test_lm_gates_not_met_take_lower_ones():
+    used = np.zeros((2, lm.GATES))
+    used[:, :3] = [5 * lm.RARE, 2 * lm.RARE, 3]
+    sums = np.full((2, lm.GATES, lm.INPUTS), 7.0) * used[:, :, None]
+    sums[:, 1] *= 2
+    got = lm.averaged(sums, used)
+    assert (got[:, 0] == 7).all() and (got[:, 1 : lm.GATES // 2] == 14).all()
+    assert np.array_equal(lm.averaged(0 * sums, 0 * used), lm.first_weights())
+
+
+def test_lm_words_are_spelled_alike_alone_and_together():
+    some = [b"banana", b"bandana", b"ban", b"\n", b"an", b"banana"]
+    coder = coded(some, 100)
+    model = lm.MixModel(coder.counts.astype(np.float32), coder.weights, np.zeros((lm.GATES, lm.BINS)), np.zeros((1, 1 << lm.GRAM_BITS)))
+    assert np.allclose(lm.word_bits(model, some), [lm.word_bits(model, [w])[0] for w in some], rtol=1e-12)
+
+
 # --- op2 -------------------------------------------------------------------------------------------------------------
 
 
