@@ -128,7 +128,8 @@ def fit(docs: DataFrame) -> CodeModel:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counted = known.mapInArrow(_counted, COUNTS)
     counts: dict[str, np.ndarray] = {}
-    for r in sum_vectors(counted, ["lang", "slice"], "<i8", known.rdd.getNumPartitions(), 16).toLocalIterator():
+    # Part by part, so that few vectors are in the driver twice; every part is a job of its own, so they are few.
+    for r in sum_vectors(counted, ["lang", "slice"], "<i8", known.rdd.getNumPartitions(), 16).coalesce(8).toLocalIterator():
         at = counts.setdefault(r["lang"], np.zeros(WIDTH))
         at[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["vec"], dtype="<i8")
     langs = sorted(counts)

@@ -419,6 +419,23 @@ def test_balance_fills_sequences():
     assert cost.std() / cost.mean() < 0.35
 
 
+def test_bitmap_comes_in_one_job(spark):
+    """The slices of a bitmap are not fetched by a job for each part of the last shuffle."""
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("bitmap", "bitmap")
+    try:
+        flags = ngram_join.bitmap(spark.range(0, 4000, 7).withColumnRenamed("id", "k"), "k", 22)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert ngram_join.flagged(flags, np.arange(4000)).tolist() == [x % 7 == 0 for x in range(4000)]
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")) < 12
+
+
 # --- op10 ------------------------------------------------------------------------------------------------------------
 
 
