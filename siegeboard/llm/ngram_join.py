@@ -53,6 +53,8 @@ FILTER_BITS = 27
 PARITY = 4
 #: Sizes that differ by a factor of at most 5/4 lie in the same or in neighbouring bands of this factor; a bit more, for rounding.
 BAND = 1.26
+#: So many links are few enough for one task to find their components.
+FEW = 1 << 16
 #: After so many rounds all untried pairs between components are tried at once.
 ROUNDS = 5
 
@@ -204,15 +206,34 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], names=["doc", *(x.split()[0] for x in CLASSES.split(", "))])
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of the few links of one task, each with the smallest node they reach."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            for x in (a, b):
+                above.setdefault(x, x)
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    yield record_batch("node bigint, comp bigint", list(above), [top(x) for x in above])
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``node`` and ``comp``, the smallest node that links reach, for every node of ``links`` (a, b).
 
     Each round moves the ends of all links to their smallest neighbour and keeps
-    what is still a link; the moves are put together afterwards.
+    what is still a link; the moves are put together afterwards. At most ``FEW``
+    links need no rounds, each of them several jobs: one task unites their ends.
     """
     links = stored(links.select("a", "b").where("a <> b").distinct())
     moves: list[DataFrame] = []
-    while not links.isEmpty():
+    while links.count() > FEW:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         move = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
         moves.append(move)
@@ -222,14 +243,17 @@ def connected(links: DataFrame) -> DataFrame:
             links.join(at_a, "a").join(at_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
         release(before)
+    comp = stored(links.coalesce(1).mapInArrow(_united, "node bigint, comp bigint"))
     if not moves:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    comp = moves[0].select("node", F.col("to").alias("comp"))
+        release(links)
+        return comp
+    moves.append(comp.withColumnRenamed("comp", "to"))
+    out = moves[0].select("node", F.col("to").alias("comp"))
     for move in moves[1:]:
         step = move.select(F.col("node").alias("comp"), "to")
-        comp = comp.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    out = stored(comp)
-    release(links, *moves)
+        out = out.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    out = stored(out)
+    release(links, comp, *moves)
     return out
 
 

@@ -458,6 +458,37 @@ def brute_groups(rows):
     return sorted(((r[0], len(s), least.get(c)) for c, r, s in zip(comp, rows, sets)), key=str)
 
 
+def counted_jobs(spark, group: str, made):
+    """What ``made`` returns, and how many jobs that took."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = made()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_bitmap_takes_one_shuffle(spark):
+    """Equal places are dropped where slices are made, not by a shuffle of their own; repeated and negative keys are fine."""
+    keys = spark.createDataFrame([(x,) for x in [5, 5, -3, 1 << 40, 1 << 21, 7, 5]], "k bigint")
+    flags, jobs = counted_jobs(spark, "bitmap slices", lambda: ngram_join.bitmap(keys, "k", 22))
+    assert np.flatnonzero(np.unpackbits(flags)).tolist() == [0, 5, 7, 1 << 21, (1 << 22) - 3]
+    assert 0 < jobs <= 2
+
+
+@pytest.mark.parametrize("few", [0, 2, 1 << 16])
+def test_connected(spark, monkeypatch, few):
+    """Rounds, and one task for the links that are left, tell the same components; few links take few jobs."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    links = [(4, 2), (2, 9), (9, 1), (-5, -9), (100, 200), (200, 100), (7, 7), (30, 20), (40, 30), (20, 40), (1, 4)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    got, jobs = counted_jobs(spark, f"connected {few}", lambda: ngram_join.connected(df).collect())
+    comp = {4: 1, 2: 1, 9: 1, 1: 1, -5: -9, -9: -9, 100: 100, 200: 100, 30: 20, 20: 20, 40: 20}
+    assert sorted(map(tuple, got)) == sorted(comp.items())
+    assert few < len(links) or jobs <= 6
+    assert ngram_join.connected(df.where("a = b")).count() == 0
+
+
 def test_jaccard_groups(spark, docs, rows, none):
     got = ngram_join.near_duplicate_groups(docs, "doc_id").collect()
     assert sorted(map(tuple, got), key=str) == brute_groups(rows)
