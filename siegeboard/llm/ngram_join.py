@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap, byte_slices, flagged, record_batch, release, stored, table
+from .shared import bitmap, byte_slices, flagged, record_batch, release, stored, table, tidy
 
 WORDS = 5
 #: 100 * intersection >= 80 * union is 9 * intersection >= 4 * (sum of sizes).
@@ -456,7 +456,9 @@ def link_classes(docs: DataFrame, id_column: str, classes: DataFrame) -> DataFra
         F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"),
     )
     shared_lists = lists.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key"))
-    kept = bitmap(shared_lists := stored(shared_lists), "key", FILTER_BITS)
+    shared_lists = stored(shared_lists)
+    tidy(spark)  # the shuffle of all keys is done with
+    kept = bitmap(shared_lists, "key", FILTER_BITS)
     lists_flags = context.broadcast(kept)
 
     def emit_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
