@@ -107,6 +107,49 @@ def test_lm_words_are_spelled_alike_alone_and_together():
     assert np.allclose(lm.word_bits(model, some), [lm.word_bits(model, [w])[0] for w in some], rtol=1e-12)
 
 
+def test_lm_codes_whole_texts_across_words(spark):
+    """Equal words in another order are another text: contexts reach across words, in what is learned and in what is scored."""
+    first, second = [f"ne{i}st" for i in range(40)], [f"qu{7 * i % 40}rk" for i in range(40)]
+    taught = " ".join(f"{a} {b}" for a, b in zip(first, second))
+    turned = " ".join(f"{b} {a}" for a, b in zip(first, second))
+    rows = [(i, taught, True) for i in range(30)] + [(100, taught, False), (101, turned, False), (102, taught.replace(" ", " \n\t").upper(), False)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, train boolean").repartition(2, "doc_id")
+    got = {r.doc: r for r in lm.score_texts(docs, "doc_id").collect()}
+    assert got[100].base_score == pytest.approx(got[101].base_score) and got[100].score > got[101].score + 1
+    assert got[102].score == pytest.approx(got[100].score, rel=1e-9)
+
+
+def test_lm_running_texts_teach_every_byte():
+    """Every occurrence of every byte is counted at its contexts, however the texts are cut into steps."""
+    texts = [lm.running([*words(t), lm.END]) for t in ("", "a", "the cat the cat the dog", "the cat " * 40, "Ünïcode ✓")]
+    assert texts[0] == lm.END and texts[1] == b"a \n"
+    data, _, context = lm.symbols(texts)
+    want = np.zeros((2, lm.starts_of(lm.TEXT_SLOTS)[-1]), dtype=np.int64)
+    for j in range(8):
+        slots = lm.bit_slots(data, context, j, lm.TEXT_SLOTS)
+        for side in range(2):
+            np.add.at(want[side], slots[:, (data >> (7 - j)) & 1 == side].ravel(), 1)
+    for limit in (1, 50, 1 << 20):
+        coder = lm.Coder(lm.TEXT_SLOTS)
+        for part in lm.pieces_of(texts, limit):
+            lm.code_texts(coder, part)
+        assert np.array_equal(coder.counts, want) and coder.used.sum() == 16 * len(data)
+
+
+def test_lm_token_bits_are_the_bits_of_the_whole_text():
+    """Tokens of a text add up to the text coded byte after byte, whether equal symbols are coded once or not."""
+    listed = [[*words(t), lm.END] for t in ("one two one two three", "", "two one", "one two one two three")]
+    coder = lm.Coder(lm.TEXT_SLOTS)
+    lm.code_texts(coder, [lm.running(x) for x in listed])
+    model = lm.MixModel(coder.counts.astype(np.float32), coder.weights, np.zeros((lm.GATES, lm.BINS)), np.zeros((0, 1)), lm.TEXT_SLOTS)
+    bits = np.split(lm.token_bits(model, listed), np.cumsum([len(x) for x in listed])[:-1])
+    for tokens, own in zip(listed, bits):
+        data, _, last = lm.last_bytes([lm.running(tokens)])
+        alone = sum(lm.symbol_bits(model, data[i : i + 1], last[i : i + 1])[0] for i in range(len(data)))
+        assert own.sum() == pytest.approx(alone, rel=1e-12)
+    assert np.array_equal(bits[0], bits[3]) and bits[0][0] != bits[0][2]  # a word's bits depend on what stands before it
+
+
 # --- op2 -------------------------------------------------------------------------------------------------------------
 
 
