@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from ..plans.joins import join_lookup
 from ..session import store
@@ -53,21 +54,24 @@ def tiled(
     key: Sequence[str],
     cells: int = TILE_CELLS,
     sources: int = TILE_SOURCES,
+    matrix: bool = True,
 ) -> PandasCogroupedOps:
     """``items`` (``bucket``, ``gid``, ``item``, more columns) and ``takers`` (``bucket``, ``key``, ``n_sources``, lists) by tile.
 
-    ``home`` marks the items of groups that are, with ``gid`` as key, takers of the tile.
+    ``home`` marks the items of groups that are, with ``gid`` as key, takers of the tile. Without a ``matrix`` of groups
+    and items, a tile is measured by what its takers gather: the items of a group times the listed groups.
     """
     held = items.groupBy("bucket").agg(
         F.approx_count_distinct(item).alias("n_items"), F.approx_count_distinct("gid").alias("n_groups"), F.count(F.lit(1)).alias("n_rows")
     )
     taking = takers.groupBy("bucket").agg(F.sum("n_sources").alias("n_listed"))
-    matrix = F.greatest(F.col("n_items") * F.col("n_groups"), F.col("n_rows"))
+    listed = F.coalesce(F.col("n_listed"), F.lit(0))
+    size = F.greatest(F.col("n_items") * F.col("n_groups") if matrix else F.col("n_rows") * listed / F.col("n_groups"), F.col("n_rows"))
     dealt = store(
         held.join(taking, "bucket", "left").select(
             "bucket",
-            F.ceil(matrix / cells).cast("int").alias("n_slices"),
-            F.greatest(F.lit(1), F.coalesce(F.ceil(F.col("n_listed") / sources), F.lit(1))).cast("int").alias("n_parts"),
+            F.ceil(size / cells).cast("int").alias("n_slices"),
+            F.greatest(F.lit(1), F.ceil(listed / sources)).cast("int").alias("n_parts"),
         )
     )
 
@@ -161,12 +165,14 @@ def united_words(groups: DataFrame, own: DataFrame, pairs: DataFrame, **limits:
     return tiles.applyInArrow(_united, ", ".join(f"{c} bigint" for c in UNITED)).unionByName(kept)
 
 
-def _first(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The first place at which each player meets each taker: own seats, at the top match before all others, and seats of sources."""
+def _first_met(left: pa.Table, right: pa.Table, order: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every taker the seat (row) at which it first meets each player, and whether that is after the top match.
+
+    Own seats at the top match come before all others, then own seats and those of sources in their ``order``.
+    """
     n = left.num_rows
     gids, row = np.unique(_values(left, "gid"), return_inverse=True)
     players, at = np.unique(_values(left, "player"), return_inverse=True)
-    order = pc.sort_indices(left, sort_keys=[(c, "ascending") for c in ("start", "match", "place")], null_placement="at_start").to_numpy()
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
 
@@ -178,20 +184,26 @@ def _first(left: pa.Table, right: pa.Table) -> pa.Table:
     win, loss, top = (left.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) for c in ("win", "loss", "top"))
     seats = {"won": firsts(win, rank + n), "lost": firsts(loss, rank + n)}
     own_seats = firsts(_values(left, "home"), np.where(top, rank, rank + n))
-    out: list[list[np.ndarray]] = [[], [], []]
     never = np.full(len(players), 2 * n)
     for gid, own, won, lost in gathered(left, right, gids, ("won", "lost")) if n else ():
         best = own_seats[own] if own is not None else never
         for name, rows in (("won", won), ("lost", lost)):
             if len(rows):
                 best = np.minimum(best, seats[name][rows].min(axis=0))
-        some = np.flatnonzero(best < 2 * n)
-        for column, x in zip(out, (np.full(len(some), gid), players[some], best[some]), strict=True):
+        best = best[best < 2 * n]
+        yield gid, order[best % n], best >= n
+
+
+def _first(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The first place at which each player meets each taker."""
+    order = pc.sort_indices(left, sort_keys=[(c, "ascending") for c in ("start", "match", "place")], null_placement="at_start").to_numpy()
+    out: list[list[np.ndarray]] = [[], [], []]
+    for gid, seats, late in _first_met(left, right, order):
+        for column, x in zip(out, (np.full(len(seats), gid), seats, late.astype(np.int32)), strict=True):
             column.append(x)
-    gid, player, best = map(_joined, out)
-    seat = pa.array(order[best % n]) if n else pa.array([], pa.int64())
-    columns = [left.column(c).take(seat) for c in ("start", "match", "place")]
-    return pa.table([pa.array(gid), pa.array(player), pa.array((best >= n).astype(np.int32)), *columns], names=["gid", "player", "part", "start", "match", "place"])
+    gid, seat, part = map(_joined, out)
+    columns = [left.column(c).take(pa.array(seat)) for c in ("player", "start", "match", "place")]
+    return pa.table([pa.array(gid), columns[0], pa.array(part.astype(np.int32)), *columns[1:]], names=["gid", "player", "part", "start", "match", "place"])
 
 
 def first_seats(groups: DataFrame, seats: DataFrame, pairs: DataFrame, **limits: int) -> DataFrame:
@@ -210,6 +222,119 @@ def first_seats(groups: DataFrame, seats: DataFrame, pairs: DataFrame, **limits:
     return found.unionByName(own.groupBy("gid", "player").agg(F.min("first_seen").alias("first_seen")))
 
 
+def packed(**columns: pa.Array) -> bytes:
+    """Columns as one compressed text, so that many values travel as one short row."""
+    batch = pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(parts: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in parts]).combine_chunks()
+
+
+PIECES = "gid bigint, cell string, part binary"
+
+
+def _pieces(rows: list[tuple[int, str, bytes]]) -> pa.Table:
+    gid, cell, part = zip(*rows) if rows else ((), (), ())
+    return pa.table([pa.array(gid, pa.int64()), pa.array(cell, pa.string()), pa.array(part, pa.binary())], names=["gid", "cell", "part"])
+
+
+def _met_in_order(gid: int, cell: str, at: np.ndarray, late: np.ndarray, names: pa.Array) -> tuple[int, str, bytes]:
+    order = np.lexsort((at, late))
+    return gid, cell, packed(late=pa.array(late[order]), at=pa.array(at[order]), name=names.take(pa.array(order)))
+
+
+def member_pieces(groups: DataFrame, seats: DataFrame, pairs: DataFrame, cell: str, **limits: int) -> DataFrame:
+    """What ``first_seats`` finds as ``PIECES`` of a list cell: the names of some players of a group, in the order of their first places.
+
+    ``seats`` have the ``name`` to be listed and their place among all seats as a number ``at`` instead of start, match and place.
+    A piece has the players of one tile, so a group has as many pieces as its bucket has slices.
+    """
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, names = _values(left, "at"), left.column("name").combine_chunks()
+        found = _first_met(left, right, np.argsort(at, kind="stable"))
+        return _pieces([_met_in_order(gid, cell, at[rows], late, names.take(pa.array(rows))) for gid, rows, late in found if len(rows)])
+
+    def alone(own: pa.Table) -> pa.Table:
+        gid = own.column("gid")[0].as_py()
+        return _pieces([_met_in_order(gid, cell, _values(own, "at"), _values(own, "late"), own.column("name").combine_chunks())])
+
+    lists = with_bucket(source_lists(pairs), groups)
+    found = tiled(with_bucket(seats, groups), lists, "player", ["gid"], **limits).applyInArrow(tile, PIECES)
+    rest = seats.join(groups.where(F.col("bucket").isNull()).select("gid"), "gid", "left_semi")
+    first = rest.groupBy("gid", "player", "name").agg(F.min(F.struct((~F.col("top")).alias("late"), "at")).alias("first"))
+    return found.unionByName(first.select("gid", "name", "first.late", "first.at").groupBy("gid").applyInArrow(alone, PIECES))
+
+
+def replay_pieces(groups: DataFrame, replays: DataFrame, pairs: DataFrame, named: dict[str, str], **limits: int) -> DataFrame:
+    """The ``replays`` (``gid``, ``kind``, ``replay``) that groups take from others, as ``PIECES`` of list cells, sorted.
+
+    ``named`` has the names of the cells of the kinds ``Win`` and ``Loss``. No row is made for a pair of groups and a replay.
+    """
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        values = left.column("replay").combine_chunks()
+        order = pc.sort_indices(values, null_placement="at_start").to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        gids, kinds = _values(left, "gid"), left.column("kind")
+        takers = _values(right, "gid")
+        rows = []
+        for kind, listed in (("Win", "won"), ("Loss", "lost")):
+            mine = np.flatnonzero(pc.equal(kinds, kind).to_numpy(zero_copy_only=False))
+            mine = mine[np.argsort(gids[mine], kind="stable")]
+            held, ranks = np.unique(gids[mine], return_index=True), rank[mine]
+            if not len(mine):
+                continue
+            by_group = np.split(ranks, held[1][1:])
+            for gid, sources in zip(takers, _listed(right, listed, held[0]), strict=True):
+                if len(sources):
+                    taken = np.sort(np.concatenate([by_group[i] for i in sources]))
+                    rows.append((gid, named[kind], packed(value=values.take(pa.array(order[taken])))))
+        return _pieces(rows)
+
+    lists = with_bucket(source_lists(pairs), groups)
+    return tiled(with_bucket(replays, groups), lists, "replay", ["gid"], matrix=False, **limits).applyInArrow(tile, PIECES)
+
+
+def with_cells(table: DataFrame, pieces: DataFrame, lists: Sequence[str], texts: Sequence[str], value: T.DataType) -> DataFrame:
+    """``table`` (one row a ``gid``) with its list cells put together from their pieces, in one shuffle.
+
+    ``lists``: sorted arrays of ``value``, empty without pieces; ``texts``: names joined by commas.
+    """
+    schema = T.StructType(
+        [*table.schema.fields, *[T.StructField(c, T.ArrayType(value)) for c in lists], *[T.StructField(c, T.StringType()) for c in texts]]
+    )
+
+    def listed(parts: list[bytes]) -> list:
+        found = unpacked(parts).column("value").combine_chunks()
+        return found if len(parts) == 1 else found.take(pc.sort_indices(found, null_placement="at_start"))
+
+    def told(parts: list[bytes]) -> str:
+        found = unpacked(parts).sort_by([(c, "ascending") for c in ("late", "at", "name")])
+        return ", ".join(found.column("name").drop_null().to_pylist())
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts: dict[str, list[bytes]] = {}
+        for cell, part in zip(right.column("cell").to_pylist(), right.column("part").to_pylist(), strict=True):
+            parts.setdefault(cell, []).append(part)
+        n = left.num_rows
+        for name in lists if n else ():
+            found = listed(parts[name]) if name in parts else pa.array([], to_arrow_type(value))
+            cell = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)
+            left = left.append_column(name, pa.concat_arrays([cell] * n))
+        for name in texts if n else ():
+            left = left.append_column(name, pa.array([told(parts[name]) if name in parts else ""] * n, pa.string()))
+        return left if n else to_arrow_schema(schema).empty_table()
+
+    return table.groupBy("gid").cogroup(pieces.groupBy("gid")).applyInArrow(fill, schema)
+
+
 def _union_sizes(left: pa.Table, right: pa.Table) -> pa.Table:
     """How many bits of the tile's words each record's groups hold together."""
     gids, row = np.unique(_values(left, "gid"), return_inverse=True)

@@ -29,8 +29,9 @@ from ..functions.ordinals import ordinal
 from ..plans.joins import join_lookup, join_skewed
 from ..roles import MatchColumns, SettingRoles
 from ..session import store
-from .carry import first_seats, united_words
+from .carry import first_seats, member_pieces, replay_pieces, united_words, with_cells
 from .groups import difficulty, group_table, member_words, with_group_key
+from .ranking import with_row_index
 
 LEVELS = 8
 BLOCK_GROUPS = 256
@@ -368,6 +369,13 @@ def ordered_members(
     the struct ``first_seen``; rows are one per group and player, so no list is
     built here. ``targets`` limits the groups.
     """
+    pairs = extended.pairs.where("easier") if winners_only else extended.pairs
+    rows = first_seats(extended.state.groups, _seats(extended, matches_df, matches, by, winners_only), pairs)
+    return rows if targets is None else rows.join(targets.select("gid"), "gid", "left_semi")
+
+
+def _seats(extended: ExtendedGroups, matches_df: DataFrame, matches: MatchColumns, by: Sequence[str], winners_only: bool) -> DataFrame:
+    """Every player of every match with the place in its list, and what ``first_seats`` needs to know."""
     ids = extended.state.groups.select("group_key", "gid", "is_source")
     keyed = with_group_key(matches_df, extended.state.roles, by).join(ids, "group_key")
     listed = col(matches.winners if winners_only else matches.players)
@@ -384,7 +392,7 @@ def ordered_members(
         F.min(F.struct((-col(matches.damage_value)).alias("minus_damage"), col(matches.id).alias("match"))).alias("top")
     )
     handed, nobody = F.col("is_source"), F.lit(False)
-    seats = join_lookup(seen, top, ["gid"], "inner").select(
+    return join_lookup(seen, top, ["gid"], "inner").select(
         "gid",
         "player",
         "start",
@@ -394,6 +402,42 @@ def ordered_members(
         F.coalesce(handed & ~F.col("ai_win"), nobody).alias("win"),
         (nobody if winners_only else F.coalesce(handed & F.col("ai_win"), nobody)).alias("loss"),
     )
-    pairs = extended.pairs.where("easier") if winners_only else extended.pairs
-    rows = first_seats(extended.state.groups, seats, pairs)
-    return rows if targets is None else rows.join(targets.select("gid"), "gid", "left_semi")
+
+
+#: Groups times players, and gathered replays, of a tile that makes list cells.
+CELL_VALUES = 4 << 20
+#: A seat's number is that of its match, shifted by so many bits, and its place there.
+PLACE_BITS = 24
+
+
+def report_cells(
+    extended: ExtendedGroups,
+    table: DataFrame,
+    matches_df: DataFrame,
+    matches: MatchColumns,
+    replays: DataFrame,
+    names: DataFrame,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """``table`` (one row a ``gid``) with the merged replays and the named members of each group.
+
+    What ``merged_replays`` and ``ordered_members`` hold as rows, but tiles hand on finished pieces of the cells, which
+    are shuffled once. ``replays``: ``gid``, ``kind``, ``replay``; ``names``: ``player``, ``name``, all names of a player as one.
+    """
+    groups, pairs = extended.state.groups, extended.pairs
+    start, match = col(matches.start).alias("start"), col(matches.id).alias("match")
+    walk = store(with_row_index(matches_df.select(start, match).distinct(), [F.col(c).asc_nulls_first() for c in ("start", "match")], name="rank"))
+    lists = {kind: f"Merged {kind} Replays" for kind in ("Win", "Loss")}
+    pieces = replay_pieces(groups, replays, pairs, lists, cells=CELL_VALUES)
+    for winners_only, cell in ((True, "Winners"), (False, "Players")):
+        seats = _seats(extended, matches_df, matches, by, winners_only).join(
+            walk.select(F.col("start").alias("_start"), F.col("match").alias("_match"), "rank"),
+            F.col("start").eqNullSafe(F.col("_start")) & F.col("match").eqNullSafe(F.col("_match")),
+        )
+        at = F.shiftleft("rank", PLACE_BITS) + F.col("place")
+        numbered = join_lookup(seats.select("gid", "player", at.alias("at"), "top", "win", "loss"), names.withColumn("_known", F.lit(True)), ["player"])
+        unknown = F.raise_error(F.concat(F.lit("no name for user "), F.col("player").cast("string"))).cast("string")
+        named = numbered.withColumn("name", F.when(F.col("_known").isNull(), unknown).otherwise(F.col("name"))).drop("_known")
+        listed = pairs.where("easier") if winners_only else pairs
+        pieces = pieces.unionByName(member_pieces(groups, store(named), listed, cell, cells=CELL_VALUES))
+    return with_cells(table, pieces, [*lists.values()], ["Winners", "Players"], replays.schema["replay"].dataType)

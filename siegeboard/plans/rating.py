@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import col
 from ..operators.clean import cast_matches, derive_matches
 from ..operators.columns import drop_constant_columns, tweaks_in_order
-from ..operators.dominance import ExtendedGroups, extend_results, merged_replays, ordered_members
+from ..operators.dominance import ExtendedGroups, extend_results, report_cells
 from ..operators.filters import plain_barbarian, split_ai
 from ..operators.groups import list_by_order, own_replays, with_group_key
 from ..operators.names import latest_names, name_sightings
@@ -19,7 +19,7 @@ from ..operators.report import setup_text
 from ..operators.settings import ai_roles
 from ..plans.joins import join_lookup
 from ..roles import MatchColumns, SettingRoles
-from ..session import materialize
+from ..session import materialize, store
 from ..sources.tables import write_rating_json, write_table, write_tiers
 
 AIS = ("Barbarian", "Raptors", "Scavengers")
@@ -50,46 +50,34 @@ def setting_report(
 ) -> DataFrame:
     """The published setting table; ``names`` holds ``userId, name``.
 
-    Replay and member lists are the cells of the published rows; they are
-    gathered here, last, from one row per group and member.
+    Replay and member lists are the cells of the published rows; they are put into rows that are
+    else complete, last, from pieces that hold many of their values each.
     """
     roles = extended.state.roles
-
-    def named_list(winners_only: bool, out: str) -> DataFrame:
-        members = ordered_members(extended, matches_df, matches, by, winners_only)
-        known = names.select(F.col("userId").alias("player"), "name", F.lit(True).alias("_known"))
-        named = join_lookup(members, known, ["player"]).withColumn(
-            "name",
-            F.when(
-                F.col("_known").isNull(),
-                F.raise_error(F.concat(F.lit("no name for user "), F.col("player").cast("string"))).cast("string"),
-            ).otherwise(F.col("name")),
-        )
-        lists = list_by_order(named, ["gid"], ["first_seen"], "name", out)
-        return lists.withColumn(out, F.array_join(col(out), ", "))
-
-    keyed = with_group_key(matches_df, roles, by)
-    replays = own_replays(keyed, matches)
+    shown = F.sort_array(F.collect_list("name"))  # without nulls
+    titled = names.groupBy(F.col("userId").alias("player")).agg(F.when(F.size(shown) > 0, F.array_join(shown, ", ")).alias("name"))
     ids = extended.state.groups.select("group_key", "gid")
-    own = replays.join(ids, "group_key").drop("group_key")
-    merged = merged_replays(extended, replays)
+    own = own_replays(with_group_key(matches_df, roles, by), matches).join(ids, "group_key").drop("group_key")
+    own = store(own, partition_by=("kind",))
     table = indexed
     for kind in ("Win", "Loss"):
         mine = list_by_order(own.where(F.col("kind") == kind), ["gid"], ["sort_value", "replay"], "replay", f"{kind} Replays")
-        carried = list_by_order(merged.where(F.col("kind") == kind), ["gid"], ["replay"], "replay", f"Merged {kind} Replays")
-        table = table.join(mine, "gid", "left").join(carried, "gid", "left")
-    table = table.join(named_list(True, "Winners"), "gid", "left").join(named_list(False, "Players"), "gid", "left")
-    empty = F.array().cast("array<string>")
-    lists = {
-        c: F.coalesce(col(c).cast("array<string>"), empty)
-        for c in ("Win Replays", "Merged Win Replays", "Loss Replays", "Merged Loss Replays")
-    }
-    table = table.withColumns({**lists, **{c: F.coalesce(col(c), F.lit("")) for c in ("Winners", "Players")}})
-    table = table.withColumnRenamed(roles.map_column, "Map")
-    texted = setup_text(table, roles, option_defaults, F.col("ai"), site, document, constants)
-    return texted.select(
+        table = table.join(mine, "gid", "left").withColumn(f"{kind} Replays", F.coalesce(col(f"{kind} Replays").cast("array<string>"), F.array().cast("array<string>")))
+    texted = setup_text(table.withColumnRenamed(roles.map_column, "Map"), roles, option_defaults, F.col("ai"), site, document, constants)
+    settings = tweaks_in_order(roles.settings)
+    rows = texted.select(
+        "gid",
         *[col(b) for b in by],
         F.col("index").cast("int").alias("index"),
+        *[col(c) for c in ("Difficulty", "#Winners", "#Players", "Win Replays", "Loss Replays", "Copy Paste", "Map")],
+        *[col(c) for c in settings],
+    )
+    wanted = own.select("gid", "kind", "replay")
+    whole = report_cells(extended, rows, matches_df, matches, wanted, titled, by)
+    texts = {c: col(c).cast("array<string>") for c in ("Merged Win Replays", "Merged Loss Replays")}
+    return whole.withColumns(texts).select(
+        *[col(b) for b in by],
+        "index",
         *[
             col(c)
             for c in (
@@ -97,7 +85,7 @@ def setting_report(
                 "Loss Replays", "Merged Loss Replays", "Copy Paste", "Map",
             )
         ],
-        *[col(c) for c in tweaks_in_order(roles.settings)],
+        *[col(c) for c in settings],
     )
 
 

@@ -99,3 +99,40 @@ def test_slices_follow_the_input(spark, world):
 
         got = tiles.applyInArrow(shape, "n long, at long").collect()
         assert sum(r["n"] for r in got) == 20 * n and max(r["n"] for r in got) < 600 and all(r["at"] for r in got if r["n"])
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_list_cells_from_pieces(spark, world, kind):
+    """Cells put together from the pieces of many tiles: merged replays sorted, repeated ones kept, members by their first places."""
+    draw, bucket, pairs, groups, pair_rows = world
+    draw = random.Random(8)
+    as_kind = str if kind == "string" else int
+    replays = [(g, k, None if draw.random() < 0.05 else as_kind(draw.randrange(40))) for g in bucket for k in ("Win", "Loss") for _ in range(draw.randrange(6))]
+    seats = []
+    for g in bucket:
+        for at in draw.sample(range(10_000), 9):
+            player = draw.randrange(30)
+            win = draw.random() < 0.5
+            name = None if player == 3 else f"name {player}" + ", again" * (player == 4)
+            seats.append((g, player, name, at, draw.random() < 0.2, win, not win))
+    table = spark.createDataFrame([(g, f"row {g}") for g in bucket], "gid long, own string")
+    seat_rows = spark.createDataFrame(seats, "gid long, player long, name string, at long, top boolean, win boolean, loss boolean")
+    replay_rows = spark.createDataFrame(replays, f"gid long, kind string, replay {kind}")
+    pieces = carry.replay_pieces(groups, replay_rows, pair_rows, {"Win": "wins", "Loss": "losses"}, **SMALL)
+    pieces = pieces.unionByName(carry.member_pieces(groups, seat_rows, pair_rows, "members", **SMALL))
+    whole = carry.with_cells(table, pieces, ["wins", "losses"], ["members"], replay_rows.schema["replay"].dataType)
+    assert pieces.groupBy("gid", "cell").count().agg(F.max("count")).first()[0] > 1
+    got = {r.gid: r for r in whole.collect()}
+    assert set(got) == set(bucket)
+    for g in bucket:
+        sources = {e: [s for easier, s, t in pairs if t == g and easier == e and s != g] for e in (True, False)}
+        for name, k, e in (("wins", "Win", True), ("losses", "Loss", False)):
+            taken = [r for s, of, r in replays if of == k and s in sources[e]]
+            assert got[g][name] == sorted(taken, key=lambda x: (x is not None, x))
+        first = {}
+        for s, player, name, at, top, win, loss in seats:
+            places = ([(not top, at)] if s == g else []) + ([(True, at)] if (win and s in sources[True]) or (loss and s in sources[False]) else [])
+            for place in places:
+                first[player] = min(first.get(player, (place, name)), (place, name))
+        assert got[g]["members"] == ", ".join(n for _, n in sorted((x for x in first.values() if x[1] is not None)))
+        assert got[g]["own"] == f"row {g}"
