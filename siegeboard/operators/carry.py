@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.group_ops import PandasCogroupedOps
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.joins import join_lookup
 from ..session import store
@@ -29,6 +29,8 @@ from ..session import store
 #: Groups times items (and rows of items) of a tile, and listed sources of its takers.
 TILE_CELLS = 1 << 20
 TILE_SOURCES = 1 << 22
+#: Rows whose list cells are put together at once.
+CELL_ROWS = 16
 
 SETS = ("own_winners", "own_players", "win_winners", "win_players", "loss_players")
 UNITED = ["gid", "word", "own_winners", "carried", "winners", "players"]
@@ -244,8 +246,12 @@ def _pieces(rows: list[tuple[int, str, bytes]]) -> pa.Table:
 
 
 def _met_in_order(gid: int, cell: str, at: np.ndarray, late: np.ndarray, names: pa.Array) -> tuple[int, str, bytes]:
+    found = pa.table([pa.array(late), pa.array(at), names], names=["late", "at", "name"])
     order = np.lexsort((at, late))
-    return gid, cell, packed(late=pa.array(late[order]), at=pa.array(at[order]), name=names.take(pa.array(order)))
+    if len(np.unique(at)) < len(at):  # names decide
+        order = pc.sort_indices(found, sort_keys=[(c, "ascending") for c in found.column_names]).to_numpy()
+    found = found.take(pa.array(order))
+    return gid, cell, packed(**{c: found.column(c).combine_chunks() for c in found.column_names})
 
 
 def member_pieces(groups: DataFrame, seats: DataFrame, pairs: DataFrame, cell: str, **limits: int) -> DataFrame:
@@ -302,37 +308,44 @@ def replay_pieces(groups: DataFrame, replays: DataFrame, pairs: DataFrame, named
     return tiled(with_bucket(replays, groups), lists, "replay", ["gid"], matrix=False, **limits).applyInArrow(tile, PIECES)
 
 
-def with_cells(table: DataFrame, pieces: DataFrame, lists: Sequence[str], texts: Sequence[str], value: T.DataType) -> DataFrame:
-    """``table`` (one row a ``gid``) with its list cells put together from their pieces, in one shuffle.
+def with_cells(table: DataFrame, pieces: DataFrame, lists: Sequence[str], texts: Sequence[str], value: T.DataType, n_rows: int) -> DataFrame:
+    """``table`` (``n_rows`` rows, one a ``gid``) with its list cells put together from their pieces, in one shuffle.
 
     ``lists``: sorted arrays of ``value``, empty without pieces; ``texts``: names joined by commas.
     """
     schema = T.StructType(
         [*table.schema.fields, *[T.StructField(c, T.ArrayType(value)) for c in lists], *[T.StructField(c, T.StringType()) for c in texts]]
     )
+    deal = F.pmod(F.xxhash64("gid"), F.lit(-(-n_rows // CELL_ROWS) or 1)).alias("deal")
 
-    def listed(parts: list[bytes]) -> list:
+    def listed(parts: list[bytes]) -> pa.Array:
+        if not parts:
+            return pa.array([], to_arrow_type(value))
         found = unpacked(parts).column("value").combine_chunks()
         return found if len(parts) == 1 else found.take(pc.sort_indices(found, null_placement="at_start"))
 
     def told(parts: list[bytes]) -> str:
-        found = unpacked(parts).sort_by([(c, "ascending") for c in ("late", "at", "name")])
+        if not parts:
+            return ""
+        found = unpacked(parts)
+        if len(parts) > 1:
+            found = found.sort_by([(c, "ascending") for c in ("late", "at", "name")])
         return ", ".join(found.column("name").drop_null().to_pylist())
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts: dict[str, list[bytes]] = {}
-        for cell, part in zip(right.column("cell").to_pylist(), right.column("part").to_pylist(), strict=True):
-            parts.setdefault(cell, []).append(part)
-        n = left.num_rows
-        for name in lists if n else ():
-            found = listed(parts[name]) if name in parts else pa.array([], to_arrow_type(value))
-            cell = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)
-            left = left.append_column(name, pa.concat_arrays([cell] * n))
-        for name in texts if n else ():
-            left = left.append_column(name, pa.array([told(parts[name]) if name in parts else ""] * n, pa.string()))
-        return left if n else to_arrow_schema(schema).empty_table()
-
-    return table.groupBy("gid").cogroup(pieces.groupBy("gid")).applyInArrow(fill, schema)
+        parts: dict[tuple[int, str], list[bytes]] = {}
+        for gid, cell, part in zip(*(right.column(c).to_pylist() for c in ("gid", "cell", "part")), strict=True):
+            parts.setdefault((gid, cell), []).append(part)
+        gids, left = left.column("gid").to_pylist(), left.drop_columns(["deal"])
+        for name in lists:
+            found = [listed(parts.get((gid, name), [])) for gid in gids]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            left = left.append_column(name, pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(found) if found else listed([])))
+        for name in texts:
+            left = left.append_column(name, pa.array([told(parts.get((gid, name), [])) for gid in gids], pa.string()))
+        return left
+
+    return table.select("*", deal).groupBy("deal").cogroup(pieces.select("*", deal).groupBy("deal")).applyInArrow(fill, schema)
 
 
 def _union_sizes(left: pa.Table, right: pa.Table) -> pa.Table:

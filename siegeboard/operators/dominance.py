@@ -440,4 +440,4 @@ def report_cells(
         named = numbered.withColumn("name", F.when(F.col("_known").isNull(), unknown).otherwise(F.col("name"))).drop("_known")
         listed = pairs.where("easier") if winners_only else pairs
         pieces = pieces.unionByName(member_pieces(groups, store(named), listed, cell, cells=CELL_VALUES))
-    return with_cells(table, pieces, [*lists.values()], ["Winners", "Players"], replays.schema["replay"].dataType)
+    return with_cells(table, pieces, [*lists.values()], ["Winners", "Players"], replays.schema["replay"].dataType, groups.count())

@@ -120,7 +120,7 @@ def test_list_cells_from_pieces(spark, world, kind):
     replay_rows = spark.createDataFrame(replays, f"gid long, kind string, replay {kind}")
     pieces = carry.replay_pieces(groups, replay_rows, pair_rows, {"Win": "wins", "Loss": "losses"}, **SMALL)
     pieces = pieces.unionByName(carry.member_pieces(groups, seat_rows, pair_rows, "members", **SMALL))
-    whole = carry.with_cells(table, pieces, ["wins", "losses"], ["members"], replay_rows.schema["replay"].dataType)
+    whole = carry.with_cells(table, pieces, ["wins", "losses"], ["members"], replay_rows.schema["replay"].dataType, len(bucket))
     assert pieces.groupBy("gid", "cell").count().agg(F.max("count")).first()[0] > 1
     got = {r.gid: r for r in whole.collect()}
     assert set(got) == set(bucket)
